@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIGINT_MIN = -(2**63)
@@ -28,3 +28,13 @@ def strict_bigint(text: Column) -> Column:
 def int_div(x: Column, by: int) -> Column:
     """Integer division without a detour through double."""
     return F.call_function("div", x, F.lit(by).cast("bigint"))
+
+
+def keep_rows(df: DataFrame, condition: Column, columns: list[Column]) -> DataFrame:
+    """Filter and project in one step, computing the inputs once.
+
+    A filter on a computed column is pushed below the projection, which then
+    computes the column a second time: too dear when it is a parsed document.
+    """
+    row = F.array(F.struct(*columns))
+    return df.select(F.explode(F.when(condition, row)).alias("row")).select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import REDACTED, SENSITIVE_PATTERNS, is_sensitive
@@ -57,3 +57,21 @@ def redact_object(v: Column, patterns: Sequence[str] = SENSITIVE_PATTERNS, depth
     """Redacted JSON text of an object variant; NULL and JSON null give ``{}``."""
     absent = v.isNull() | (F.schema_of_variant(v) == "VOID")
     return F.when(absent, "{}").otherwise(redacted_text(v, patterns, depth))
+
+
+def redact_json(df: DataFrame, cols: Sequence[str], patterns: Sequence[str] = SENSITIVE_PATTERNS,
+                depth: int = DEFAULT_DEPTH, observation: Observation | None = None) -> DataFrame:
+    """Redact JSON text columns of an event table.
+
+    Text that is not JSON is replaced whole. ``observation`` receives, per
+    column, how many rows were nested below ``depth`` and so lost a container.
+    """
+    parsed = {c: F.try_parse_json(F.col(c)) for c in cols}
+    if observation is not None:
+        df = df.observe(observation, *[
+            F.count_if(F.coalesce(nesting_exceeds(v, depth), F.lit(False))).alias(f"{c}_too_deep") for c, v in parsed.items()])
+    unreadable = {c: F.col(c).isNotNull() & v.isNull() for c, v in parsed.items()}
+    return df.withColumns({
+        c: F.when(unreadable[c], F.lit(f'"{REDACTED}"')).otherwise(redact_object(v, patterns, depth))
+        for c, v in parsed.items()
+    })

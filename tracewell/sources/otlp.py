@@ -11,8 +11,6 @@ value is refused as malformed.
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +20,8 @@ from tracewell.functions.anyvalue import (
 from tracewell.functions.scalars import (
     duration_ms, hex_id, log_severity, nanos_to_ts, null_if_empty, span_severity,
 )
+from tracewell.sources.payloads import MALFORMED, WRONG_TYPE, Decoded, not_one_request, parse_request, wrong_text
 
-MALFORMED = "malformed"
-WRONG_TYPE = "wrong_type"
 SOURCE_TYPE = "otlp"
 
 # Leaves that must be JSON strings stay VARIANT: the parser would turn a number
@@ -45,35 +42,6 @@ LOG_REQUEST = (
 )
 
 
-class Decoded(NamedTuple):
-    """Accepted rows and refused payloads of one read."""
-
-    events: DataFrame
-    rejects: DataFrame
-
-
-def parse_request(body: Column, schema: str) -> Column:
-    """Strict JSON parse to ``struct<r array<request>, _corrupt_record>``.
-
-    The body is read as the only element of a list, so that text after the
-    closing brace is an error instead of being ignored.
-    """
-    options = {
-        "columnNameOfCorruptRecord": "_corrupt_record",
-        "allowSingleQuotes": "false",
-        "allowNonNumericNumbers": "false",
-    }
-    wrapped = F.concat(F.lit('{"r":['), body, F.lit("]}"))
-    return F.from_json(wrapped, f"r array<struct<{schema}>>, _corrupt_record string", options)
-
-
-def not_one_request(parsed: Column, body: Column) -> Column:
-    return (
-        parsed.isNull() | parsed["_corrupt_record"].isNotNull()
-        | ((F.length(body) > 0) & (F.coalesce(F.size(parsed["r"]), F.lit(0)) != 1))
-    )
-
-
 def _flat(nested: Column) -> Column:
     return F.flatten(F.filter(nested, lambda x: x.isNotNull()))
 
@@ -82,15 +50,8 @@ def _text(leaf: Column) -> Column:
     return hex_id(text_of(leaf))
 
 
-def _wrong_text(record: Column, names: tuple[str, ...]) -> Column:
-    bad = F.lit(False)
-    for name in names:
-        bad = bad | not_string(record[name])
-    return bad
-
-
 def _span_record(span: Column) -> Column:
-    wrong = _wrong_text(span, ("traceId", "spanId", "parentSpanId", "name", "startTimeUnixNano", "endTimeUnixNano"))
+    wrong = wrong_text(span, ("traceId", "spanId", "parentSpanId", "name", "startTimeUnixNano", "endTimeUnixNano"))
     start, end = text_of(span["startTimeUnixNano"]), text_of(span["endTimeUnixNano"])
     return F.struct(
         (wrong | not_string(span["status"]["message"])).alias("wrong"),
@@ -107,7 +68,7 @@ def _span_record(span: Column) -> Column:
 
 def _log_record(rec: Column) -> Column:
     return F.struct(
-        _wrong_text(rec, ("timeUnixNano", "severityText", "traceId", "spanId")).alias("wrong"),
+        wrong_text(rec, ("timeUnixNano", "severityText", "traceId", "spanId")).alias("wrong"),
         text_of(rec["timeUnixNano"]).alias("nanos"),
         null_if_empty(_text(rec["traceId"])).alias("trace_id"),
         null_if_empty(_text(rec["spanId"])).alias("span_id"),
