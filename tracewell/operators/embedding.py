@@ -22,14 +22,15 @@ def embed(df: DataFrame, text_col: str, load: Callable[[], Backend], dims: int,
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         backend = load()
         for texts in batches:
-            given = texts.notna().to_numpy()
-            result = pd.Series([None] * len(texts), dtype=object)
-            if given.any():
-                matrix = np.asarray(backend(texts[given].tolist()), dtype="float32")
-                if matrix.shape != (int(given.sum()), dims):
-                    raise ValueError(f"backend returned shape {matrix.shape}, expected {(int(given.sum()), dims)}")
-                result[given] = list(matrix)
-            yield result
+            given = np.flatnonzero(texts.notna())
+            result: list = [None] * len(texts)
+            if len(given):
+                matrix = np.asarray(backend(texts.iloc[given].tolist()), dtype="float32")
+                if matrix.shape != (len(given), dims):
+                    raise ValueError(f"backend returned shape {matrix.shape}, expected {(len(given), dims)}")
+                for at, vector in zip(given, matrix):
+                    result[at] = vector
+            yield pd.Series(result, dtype=object)
 
     return df.withColumn(out, vectors(F.col(text_col)))
 
