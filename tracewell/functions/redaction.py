@@ -1,7 +1,15 @@
-"""Deep redaction of secrets in JSON payload columns."""
+"""Deep redaction of secrets in JSON payload columns.
+
+A value under a sensitive key is replaced whole, at any level. On the canonical
+text of a document (compact, with minimal escapes) a scalar under such a key is
+found by a regular expression, whatever its depth: one pass, in generated code.
+Only a document with a list or an object under a sensitive key, or with an
+escape in a key, is walked as a tree.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -9,54 +17,96 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import REDACTED, SENSITIVE_PATTERNS, is_sensitive
 
-DEFAULT_DEPTH = 12
+DEFAULT_DEPTH = 8
+# An escape pair followed by the end of a key. A quote before a colon ends a key:
+# inside a text value it would be escaped.
+_ESCAPE_IN_KEY = r'\\.[^"\\]*":'
+# Possessive, so that a long text is matched without backtracking or recursion.
+_SCALAR = r'(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^,\]\[{}"]+)'
 
 
-def _children(v: Column) -> Column:
-    """Members of an object, or items of an array under a NULL key; NULL for scalars."""
-    return F.coalesce(
-        F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
-        F.transform(
-            F.try_variant_get(v, "$", "array<variant>"),
-            lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")),
-        ),
-    )
+def _any_of(patterns: Sequence[str]) -> str:
+    return "|".join(re.escape(p.lower()) for p in patterns)
 
 
-def redacted_text(v: Column, patterns: Sequence[str] = SENSITIVE_PATTERNS, depth: int = DEFAULT_DEPTH) -> Column:
-    """JSON text of ``v`` with every value under a sensitive key replaced.
+def _replace_members(text: Column, patterns: Sequence[str]) -> Column:
+    """Replace scalars under sensitive keys in canonical JSON text.
 
-    Objects and arrays share one branch per level. A container below the last
-    level is replaced whole: redaction fails closed (``nesting_exceeds`` tells).
+    A key is matched from the sensitive word on, and the word by its first
+    letter first. Before a container the marker is put in front of the bracket:
+    text followed by a bracket is no JSON, so that is easily told.
     """
-    marker = F.lit(f'"{REDACTED}"')
-    if depth == 0:
-        return F.when(_children(v).isNotNull(), marker).otherwise(F.to_json(v))
+    first = "".join(sorted({re.escape(p[0].lower()) + re.escape(p[0].upper()) for p in patterns}))
+    member = rf'(?=[{first}])((?i:{_any_of(patterns)})[^"\\]*+":)(?:{_SCALAR}|(?=[\[{{]))'
+    return F.regexp_replace(text, member, f'$1"{REDACTED}"')
 
-    def member(e: Column) -> Column:
-        value = F.when(F.coalesce(is_sensitive(e["key"], patterns), F.lit(False)), marker) \
-            .otherwise(redacted_text(e["value"], patterns, depth - 1))
-        return F.concat(F.when(e["key"].isNotNull(), F.concat(F.to_json(e["key"].cast("variant")), F.lit(":"))).otherwise(""), value)
 
-    inner = F.array_join(F.transform(_children(v), member), ",")
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
-    return F.coalesce(
-        F.concat(F.when(is_object, "{").otherwise("["), inner, F.when(is_object, "}").otherwise("]")),
-        F.to_json(v),
-    )
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def nesting_exceeds(v: Column, depth: int) -> Column:
-    """True when a container lies more than ``depth`` levels below ``v``."""
-    if depth == 0:
-        return _children(v).isNotNull()
-    return F.coalesce(F.exists(_children(v), lambda e: nesting_exceeds(e["value"], depth - 1)), F.lit(False))
+def _walk(v: str, patterns: Sequence[str], depth: int, level: int = 0) -> str:
+    """SQL for the JSON text of variant ``v`` with sensitive members replaced.
 
-
-def redact_object(v: Column, patterns: Sequence[str] = SENSITIVE_PATTERNS, depth: int = DEFAULT_DEPTH) -> Column:
-    """Redacted JSON text of an object variant; NULL and JSON null give ``{}``."""
-    absent = v.isNull() | (F.schema_of_variant(v) == "VOID")
-    return F.when(absent, "{}").otherwise(redacted_text(v, patterns, depth))
+    Objects and arrays are both seen as lists of members, arrays with NULL keys,
+    so each level adds one branch. A container below the last level is replaced
+    whole: redaction fails closed (``nesting_exceeds`` tells).
+    """
+    marker = _sql_text(f'"{REDACTED}"')
+    container = f"(schema_of_variant({v}) LIKE 'OBJECT%' OR schema_of_variant({v}) LIKE 'ARRAY%')"
+    if depth == 0:
+        return f"CASE WHEN {container} THEN {marker} ELSE to_json({v}) END"
+    e, x = f"e{level}", f"x{level}"
+    sensitive = f"coalesce(lower({e}.key) RLIKE {_sql_text(_any_of(patterns))}, false)"
+    members = (
+        f"coalesce(map_entries(try_variant_get({v}, '$', 'map<string,variant>')), "
+        f"transform(try_variant_get({v}, '$', 'array<variant>'), {x} -> struct(CAST(NULL AS STRING) AS key, {x} AS value)))")
+    member = (
+        f"concat(coalesce(concat(to_json(CAST({e}.key AS VARIANT)), ':'), ''), "
+        f"CASE WHEN {sensitive} THEN {marker} ELSE {_walk(e + '.value', patterns, depth - 1, level + 1)} END)")
+    is_object = f"schema_of_variant({v}) LIKE 'OBJECT%'"
+    return (
+        f"CASE WHEN {container} THEN concat(if({is_object}, '{{', '['), "
+        f"array_join(transform({members}, {e} -> {member}), ','), if({is_object}, '}}', ']')) ELSE to_json({v}) END")
+
+
+def with_redacted(df: DataFrame, columns: dict[str, str], patterns: Sequence[str] = SENSITIVE_PATTERNS,
+                  depth: int = DEFAULT_DEPTH) -> DataFrame:
+    """Add redacted JSON text of variant columns, ``{new name: variant column}``.
+
+    NULL and JSON null give ``{}``. The steps are columns of their own, so that
+    each is computed once.
+    """
+    text = {n: F.col(f"_text_{n}") for n in columns}
+    swapped = {n: F.col(f"_swapped_{n}") for n in columns}
+    df = df.withColumns({f"_text_{n}": F.to_json(v) for n, v in columns.items()})
+    df = df.withColumns({f"_swapped_{n}": F.when(
+        is_sensitive(text[n], patterns), _replace_members(text[n], patterns)) for n in columns})
+
+    def choose(n: str, v: str) -> Column:
+        # The Kelvin sign is the one other letter that lower-cases to an ASCII one.
+        needs_walk = (
+            swapped[n].contains(f'"{REDACTED}"{{') | swapped[n].contains(f'"{REDACTED}"[')
+            | text[n].contains("\u212a") | (text[n].contains("\\") & text[n].rlike(_ESCAPE_IN_KEY)))
+        return (
+            F.when(text[n].isNull() | (text[n] == "null"), "{}").when(swapped[n].isNull(), text[n])
+            .when(needs_walk, F.expr(_walk(f"`{v}`", patterns, depth))).otherwise(swapped[n]))
+
+    return df.withColumns({n: choose(n, v) for n, v in columns.items()}) \
+        .drop(*[f"_text_{n}" for n in columns], *[f"_swapped_{n}" for n in columns])
+
+
+def nesting_exceeds(name: str, depth: int) -> Column:
+    """True when a container of variant column ``name`` lies more than ``depth`` levels down."""
+    def walk(v: str, left: int, level: int) -> str:
+        members = (
+            f"coalesce(map_values(try_variant_get({v}, '$', 'map<string,variant>')), try_variant_get({v}, '$', 'array<variant>'))")
+        if left == 0:
+            return f"{members} IS NOT NULL"
+        e = f"m{level}"
+        return f"coalesce(exists({members}, {e} -> {walk(e, left - 1, level + 1)}), false)"
+
+    return F.expr(walk(f"`{name}`", depth, 0))
 
 
 def redact_json(df: DataFrame, cols: Sequence[str], patterns: Sequence[str] = SENSITIVE_PATTERNS,
@@ -64,14 +114,17 @@ def redact_json(df: DataFrame, cols: Sequence[str], patterns: Sequence[str] = SE
     """Redact JSON text columns of an event table.
 
     Text that is not JSON is replaced whole. ``observation`` receives, per
-    column, how many rows were nested below ``depth`` and so lost a container.
+    column, how many rows were nested below ``depth``.
     """
-    parsed = {c: F.try_parse_json(F.col(c)) for c in cols}
+    parsed = df.withColumns({f"_parsed_{c}": F.try_parse_json(F.col(c)) for c in cols})
     if observation is not None:
-        df = df.observe(observation, *[
-            F.count_if(F.coalesce(nesting_exceeds(v, depth), F.lit(False))).alias(f"{c}_too_deep") for c, v in parsed.items()])
-    unreadable = {c: F.col(c).isNotNull() & v.isNull() for c, v in parsed.items()}
-    return df.withColumns({
-        c: F.when(unreadable[c], F.lit(f'"{REDACTED}"')).otherwise(redact_object(v, patterns, depth))
-        for c, v in parsed.items()
-    })
+        parsed = parsed.observe(observation, *[
+            F.count_if(F.coalesce(nesting_exceeds(f"_parsed_{c}", depth), F.lit(False))).alias(f"{c}_too_deep") for c in cols])
+
+    done = with_redacted(parsed, {f"_done_{c}": f"_parsed_{c}" for c in cols}, patterns, depth)
+
+    def clean(c: str) -> Column:
+        unreadable = F.col(c).isNotNull() & F.col(f"_parsed_{c}").isNull()
+        return F.when(unreadable, F.lit(f'"{REDACTED}"')).otherwise(F.col(f"_done_{c}"))
+
+    return done.select(*[clean(c).alias(c) if c in cols else F.col(c) for c in df.columns])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.anyvalue import kind, text_of
 from tracewell.functions.expr import keep_rows
-from tracewell.functions.redaction import redact_object
+from tracewell.functions.redaction import with_redacted
 from tracewell.functions.scalars import context_json, event_type, tool_message, tool_type
 from tracewell.sources.payloads import MALFORMED, WRONG_TYPE, Decoded, not_one_request, parse_request, wrong_text
 
@@ -34,16 +34,18 @@ def read_hook_events(payloads: DataFrame, agent_id: Column) -> Decoded:
         parse_request(F.col("body"), _HOOK).alias("parsed"),
     ).select(
         "payload_id", "body", "captured_at", "agent_id", hook.alias("hook"),
+        hook["tool_input"].alias("tool_input"), hook["tool_output"].alias("tool_output"),
         F.when(not_one_request(F.col("parsed"), F.col("body")), MALFORMED).alias("refusal"),
     )
     h, tool = F.col("hook"), text_of(F.col("hook.tool_name"))
     wrong = wrong_text(h, ("tool_name", "session_id", "project_dir", "git_branch"))
-    wrong = wrong | _not_object(h["tool_input"]) | _not_object(h["tool_output"])
+    wrong = wrong | _not_object(F.col("tool_input")) | _not_object(F.col("tool_output"))
     reason = F.coalesce(
         F.col("refusal"), F.when(wrong, WRONG_TYPE), F.when(tool == "", NO_TOOL_NAME))
     context = context_json(text_of(h["project_dir"]), text_of(h["git_branch"]))
     none = F.lit(None).cast("string")
-    events = keep_rows(parsed, reason.isNull(), [
+    redacted = with_redacted(parsed, {"params": "tool_input", "result": "tool_output"})
+    events = keep_rows(redacted, reason.isNull(), [
         F.sha2(F.concat_ws(":", F.lit("hook"), F.col("payload_id")), 256).alias("event_id"),
         F.col("agent_id"),
         text_of(h["session_id"]).alias("session_token"),
@@ -54,8 +56,8 @@ def read_hook_events(payloads: DataFrame, agent_id: Column) -> Decoded:
         tool_type(tool).alias("tool_type"),
         none.alias("mcp_server"),
         tool_message(tool).alias("message"),
-        redact_object(h["tool_input"]).alias("params"),
-        redact_object(h["tool_output"]).alias("result"),
+        F.col("params"),
+        F.col("result"),
         context.alias("context"),
         F.coalesce(h["duration_ms"], F.lit(0)).alias("duration_ms"),
         F.lit(None).cast("array<string>").alias("tags"),
