@@ -1,11 +1,12 @@
 """OTLP typed values (string, int, bool, double, array, key-value list) to JSON.
 
-Attributes are lists of ``{key, value}`` pairs. A pair whose value is one
-well-typed scalar, the overwhelming case, is converted by built-in expressions.
-Any other pair (arrays and key-value lists of any depth, several fields at once,
-wrong types) is left as ``ODD`` plus its own text, and ``finish_odd`` converts
-those of a whole payload in one Arrow batch. Both give JSON text; ``WRONG``, a
-control character encoded JSON never contains, marks what must be refused.
+Attributes are lists of ``{key, value}`` pairs. A list in which every value is
+one well-typed scalar and no key repeats, the overwhelming case, is rewritten to
+a JSON object by a regular expression over its canonical text. Any other list
+(arrays and key-value lists of any depth, repeated keys, several fields at once,
+wrong types) is left as ``ODD`` plus its text, and ``finish_odd`` converts those
+of a whole payload in one Arrow batch. Both give JSON text; ``WRONG``, a control
+character encoded JSON never contains, marks what must be refused.
 """
 
 from __future__ import annotations
@@ -18,11 +19,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewell.functions.expr import BIGINT_MAX, BIGINT_MIN, let, strict_bigint
+from tracewell.functions.expr import BIGINT_MAX, BIGINT_MIN, let
 from tracewell.functions.scalars import short_float
 
 ODD, WRONG = "\x00", "\x02"
-_NUMBER = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9]+,[0-9]+\))"
+# Possessive throughout: long texts are matched without backtracking or recursion.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_VALUE = (
+    rf'\{{(?:"stringValue":({_STRING})|"intValue":"(0|-?[1-9][0-9]{{0,17}})"'
+    r'|"boolValue":(true|false)|"doubleValue":(-?[0-9]++(?:\.[0-9]++)?+))\}'
+)
+_PAIR = rf'\{{"key":({_STRING}),"value":{_VALUE}\}}'
+_SIMPLE_LIST = rf"\A\[(?:{_PAIR}(?:,{_PAIR})*+)?+\]\z"
 
 
 def kind(v: Column) -> Column:
@@ -43,78 +51,34 @@ def _field(v: Column, path: str, as_type: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{path}", as_type)
 
 
-def int_text_value(text: Column) -> Column:
-    """Integer text to bigint: clamped when out of range, 0 when not a number."""
-    return (
-        F.when(~text.rlike(r"\A[+-]?[0-9]+\z"), F.lit(0).cast("bigint"))
-        .otherwise(F.coalesce(
-            strict_bigint(text),
-            F.when(text.startswith("-"), F.lit(BIGINT_MIN).cast("bigint")).otherwise(F.lit(BIGINT_MAX).cast("bigint")),
-        ))
-    )
-
-
-def pair_text(pair: Column) -> Column:
-    """JSON text of a pair's value, or the ``ODD`` mark and the pair itself."""
-    def typed(name: str, type_name: str) -> str:
-        return f"OBJECT<key: STRING, value: OBJECT<{name}: {type_name}>>"
-
-    number = _field(pair, "value.doubleValue", "double")
-    return let(F.schema_of_variant(pair), lambda s: F.coalesce(
-        F.when(s == typed("stringValue", "STRING"), F.to_json(_field(pair, "value.stringValue")))
-        .when(s == typed("intValue", "STRING"), int_text_value(_field(pair, "value.intValue", "string")).cast("string"))
-        .when(s == typed("boolValue", "BOOLEAN"), F.to_json(_field(pair, "value.boolValue")))
-        .when(s.rlike(r"\A" + typed("doubleValue", _NUMBER) + r"\z") & (F.abs(number) < float("inf")), number.cast("string")),
-        F.concat(F.lit(ODD), F.to_json(pair)),
-    ))
+def list_json(attributes: Column) -> Column:
+    """Attribute list (variant) to JSON object text with sorted keys, or ``ODD`` and its text."""
+    return _text_json(F.coalesce(F.to_json(attributes), F.lit("[]")))
 
 
-def entries(attributes: Column) -> Column:
-    """Attribute list (variant) to ``array<struct<key, text>>``.
-
-    A list of the wrong type gives one ``WRONG`` entry.
-    """
-    items = F.try_variant_get(attributes, "$", "array<variant>")
-    read = F.transform(items, lambda p: F.struct(
-        text_of(_field(p, "key")).alias("key"), pair_text(p).alias("text")))
-    refused = F.array(F.struct(F.lit("").alias("key"), F.lit(WRONG).alias("text")))
-    return F.when(attributes.isNull() | (kind(attributes) == "VOID"), F.slice(refused, 1, 0)) \
-        .otherwise(F.coalesce(read, refused))
-
+def lone_value_json(v: Column) -> Column:
+    """A typed value, checked like an attribute, under an empty key."""
+    return _text_json(F.concat(F.lit('[{"key":"","value":'), F.coalesce(F.to_json(v), F.lit("null")), F.lit("}]")))
 
-def value_entry(v: Column) -> Column:
-    """A lone typed value as a one-entry list, so that it is checked alike."""
-    body = F.coalesce(F.to_json(v), F.lit("null"))
-    return F.array(F.struct(F.lit("").alias("key"), pair_text(
-        F.parse_json(F.concat(F.lit('{"key":"","value":'), body, F.lit("}")))).alias("text")))
 
+def _text_json(text: Column) -> Column:
+    def convert(t: Column) -> Column:
+        members = F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), _PAIR, "$1:$2$3$4$5")
+        # A repeated key does not parse, which leaves the list to the odd ones.
+        simple = F.when(t.rlike(_SIMPLE_LIST), F.to_json(F.try_parse_json(F.concat(F.lit("{"), members, F.lit("}")))))
+        return F.coalesce(simple, F.concat(F.lit(ODD), t))
 
-def odd_texts(entry_lists: Column) -> Column:
-    """Distinct odd pair texts of several entry lists."""
-    return F.array_distinct(F.filter(
-        F.transform(F.flatten(entry_lists), lambda e: e["text"]), lambda t: t.startswith(ODD)))
+    return let(text, convert)
 
 
-def object_json(entry_list: Column, finished: Column) -> Column:
-    """Entries to a JSON object with sorted keys; the last duplicate wins.
+def odd_texts(texts: Column) -> Column:
+    """The distinct odd ones of some texts."""
+    return F.array_distinct(F.filter(texts, lambda t: t.startswith(ODD)))
 
-    ``finished`` maps odd texts to their JSON. A wrong value anywhere, also in
-    an entry that a later one replaces, gives ``WRONG``.
-    """
-    def build(kids: Column) -> Column:
-        keys = F.transform(kids, lambda c: c["key"])
-        repeated = F.size(F.array_distinct(keys)) < F.size(keys)
-        last_only = F.filter(kids, lambda c, i: ~F.exists(
-            F.slice(kids, i + 2, F.size(kids)), lambda later: later["key"] == c["key"]))
-        kept = F.when(repeated, last_only).otherwise(kids)
-        members = F.array_sort(F.transform(kept, lambda c: F.concat(
-            F.to_json(c["key"].cast("variant")), F.lit(":"), c["text"])))
-        return F.when(F.exists(kids, lambda c: c["text"] == WRONG), WRONG) \
-            .otherwise(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
 
-    return let(F.transform(entry_list, lambda c: F.struct(
-        c["key"].alias("key"),
-        F.when(c["text"].startswith(ODD), finished[c["text"]]).otherwise(c["text"]).alias("text"))), build)
+def finished_json(text: Column, finished: Column) -> Column:
+    """Replace an odd text by its JSON, from the map ``finished``."""
+    return F.when(text.startswith(ODD), finished[text]).otherwise(text)
 
 
 class _WrongType(ValueError):
@@ -163,8 +127,11 @@ def _plain_pair(pair) -> tuple[str, object]:
 
 def _finish_one(text: str) -> str:
     try:
-        value = _plain_pair(json.loads(text[len(ODD):]))[1]
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+        pairs = json.loads(text[len(ODD):])
+        if pairs is not None and type(pairs) is not list:
+            raise _WrongType("attributes")
+        members = dict(_plain_pair(p) for p in pairs or [])
+        return json.dumps(members, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
     except (_WrongType, OverflowError):
         return WRONG
 
@@ -179,15 +146,15 @@ _finish_list = _finish_list.asNondeterministic()
 
 
 def finish_odd(odd: Column) -> Column:
-    """Odd pair texts to a map from each text to its JSON."""
+    """Odd texts to a map from each text to its JSON."""
     return F.map_from_arrays(odd, _finish_list(odd))
 
 
 def any_value(v: Column) -> Column:
-    """Typed value to JSON text; NULL when it is ill-typed."""
-    entry = value_entry(v)[0]["text"]
-    text = F.when(entry.startswith(ODD), F.get(_finish_list(F.array(entry)), F.lit(0))).otherwise(entry)
-    return F.nullif(text, F.lit(WRONG))
+    """Typed value to a variant; NULL when it is ill-typed."""
+    text = lone_value_json(v)
+    done = F.when(text.startswith(ODD), F.get(_finish_list(F.array(text)), F.lit(0))).otherwise(text)
+    return F.try_variant_get(F.try_parse_json(F.nullif(done, F.lit(WRONG))), "$['']", "variant")
 
 
 def any_string(v: Column) -> Column:

@@ -180,7 +180,7 @@ def trace_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload_id = int_div(key, SPANS_PER_PAYLOAD)
     attrs = F.concat_ws(
         ",",
-        _scalar_attr("a.kind", "stringValue", F.lit('"first"')),
+        F.when(F.col("kind") == "error", _scalar_attr("a.kind", "stringValue", F.lit('"first"'))),
         _scalar_attr("a.kind", "stringValue", _quoted(F.col("kind"))),
         F.concat(F.lit('{"key":"b.k","value":{"intValue":'), F.lit("@Q@"), k, F.lit("@Q@}}")),
         _scalar_attr("c.even", "boolValue", F.when(F.col("k") % 2 == 0, "true").otherwise("false")),

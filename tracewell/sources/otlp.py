@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.anyvalue import (
-    WRONG, any_string, entries, finish_odd, not_string, object_json, odd_texts, service_name, text_of, value_entry,
+    WRONG, any_string, finish_odd, finished_json, list_json, lone_value_json, not_string, odd_texts, service_name, text_of,
 )
 from tracewell.functions.scalars import (
     duration_ms, hex_id, log_severity, nanos_to_ts, null_if_empty, span_severity,
@@ -91,36 +91,36 @@ def _decode(payloads: DataFrame, schema: str, top: str, scopes: str, leaf: str,
     leaves = _flat(F.transform(blocks, lambda b, ri: _flat(F.transform(b[scopes], lambda s, si: F.transform(
         s[leaf], lambda rec, pi: F.struct(
             ri.alias("ri"), F.concat_ws(":", ri, si, pi).alias("position"),
-            record(rec).alias("rec"), entries(rec["attributes"]).alias("attrs"), checked(rec).alias("checked")))))))
+            record(rec).alias("rec"), list_json(rec["attributes"]).alias("attributes"), checked(rec).alias("checked")))))))
     resources = F.transform(blocks, lambda b: F.struct(
-        entries(b["resource"]["attributes"]).alias("attrs"), service_name(b["resource"]["attributes"]).alias("service")))
+        list_json(b["resource"]["attributes"]).alias("json"), service_name(b["resource"]["attributes"]).alias("service")))
     flat = parsed.select(
         *keep, F.when(not_one_request(F.col("parsed"), F.col("body")), MALFORMED).alias("refusal"),
         F.coalesce(resources, F.array()).alias("resources"), F.coalesce(leaves, F.array()).alias("leaves"),
     )
-    attribute_lists = F.concat(
-        F.transform("resources", lambda r: r["attrs"]),
-        F.transform("leaves", lambda x: x["attrs"]), F.transform("leaves", lambda x: x["checked"]),
-    )
-    finished = flat.select("*", odd_texts(attribute_lists).alias("odd")) \
-        .select("*", finish_odd(F.col("odd")).alias("finished"))
+    texts = F.concat(
+        F.transform("resources", lambda r: r["json"]),
+        F.transform("leaves", lambda x: x["attributes"]), F.transform("leaves", lambda x: x["checked"]))
+    finished = flat.select("*", odd_texts(texts).alias("odd")).select("*", finish_odd(F.col("odd")).alias("finished"))
     done = F.col("finished")
-    texts = finished.select(
+    # Only a payload with odd lists is rebuilt.
+    has_odd = F.size("odd") > 0
+    rebuilt = finished.select(
         *keep, "refusal",
-        F.transform("resources", lambda r: F.struct(
-            object_json(r["attrs"], done).alias("json"), r["service"].alias("service"))).alias("resources"),
-        F.transform("leaves", lambda x: F.struct(
+        F.when(has_odd, F.transform("resources", lambda r: F.struct(
+            finished_json(r["json"], done).alias("json"), r["service"].alias("service")))).otherwise(F.col("resources")).alias("resources"),
+        F.when(has_odd, F.transform("leaves", lambda x: F.struct(
             x["ri"].alias("ri"), x["position"].alias("position"), x["rec"].alias("rec"),
-            (x["rec"]["wrong"] | (object_json(x["checked"], done) == WRONG)).alias("wrong"),
-            object_json(x["attrs"], done).alias("attributes"))).alias("rows"),
+            finished_json(x["attributes"], done).alias("attributes"),
+            finished_json(x["checked"], done).alias("checked")))).otherwise(F.col("leaves")).alias("rows"),
     )
-    wrong = F.exists("resources", lambda r: r["json"] == WRONG) | \
-        F.exists("rows", lambda x: x["wrong"] | (x["attributes"] == WRONG))
-    return texts.select(*keep, F.coalesce(F.col("refusal"), F.when(wrong, WRONG_TYPE)).alias("reason"), "resources", "rows")
+    wrong = F.exists("resources", lambda r: r["json"] == WRONG) | F.exists(
+        "rows", lambda x: x["rec"]["wrong"] | (x["attributes"] == WRONG) | (x["checked"] == WRONG))
+    return rebuilt.select(*keep, F.coalesce(F.col("refusal"), F.when(wrong, WRONG_TYPE)).alias("reason"), "resources", "rows")
 
 
 def _nothing(rec: Column) -> Column:
-    return F.slice(entries(rec["attributes"]), 1, 0)
+    return F.lit("")
 
 
 def decode_traces(payloads: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def decode_traces(payloads: DataFrame) -> DataFrame:
 
 def decode_logs(payloads: DataFrame) -> DataFrame:
     return _decode(payloads, LOG_REQUEST, "resourceLogs", "scopeLogs", "logRecords", _log_record,
-                   lambda rec: value_entry(rec["body"]))
+                   lambda rec: lone_value_json(rec["body"]))
 
 
 def accepted(decoded: DataFrame, signal: str) -> DataFrame:
