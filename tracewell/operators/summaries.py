@@ -8,7 +8,7 @@ short and no task holds a whole session.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.ordering import number_rows
@@ -32,20 +32,20 @@ def session_summary(events: DataFrame) -> DataFrame:
 
 def summary_items(events: DataFrame) -> DataFrame:
     """All list items: ``session_id, kind, pos, ts, item, label, n``."""
-    one = F.lit(1).cast("bigint")
-    tools = events.where(F.col("tool_name").isNotNull()).groupBy("session_id", "tool_name").agg(
-        F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n")).select(
-        "session_id", F.lit("tool").alias("kind"), "ts", F.col("tool_name").alias("item"), F.col("tool_name").alias("label"), "n")
-    files = events.where(modifies_file()).groupBy("session_id", file_path().alias("path")).agg(
-        F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n")).select(
-        "session_id", F.lit("file").alias("kind"), "ts", F.col("path").alias("item"), F.col("path").alias("label"), "n")
-    commit, moment = F.col("event_type") == "git_commit", modifies_file()
-    kinds = F.array_compact(F.array(
-        F.when(commit, "commit"), F.when(is_error(), "error"), F.when(commit | is_error() | moment, "moment")))
-    listed = events.select(
-        "session_id", F.explode(kinds).alias("kind"), "ts", F.col("event_id").alias("item"), F.col("message").alias("label"),
-        one.alias("n"))
-    return number_rows(tools.unionByName(files).unionByName(listed), ["session_id", "kind"], "ts", "item", "pos")
+    def entry(kind: str, item: Column, label: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), item.alias("item"), label.alias("label"))
+
+    commit, modified, tool = F.col("event_type") == "git_commit", modifies_file(), F.col("tool_name")
+    event, path = (F.col("event_id"), F.col("message")), (file_path(), file_path())
+    entries = F.array_compact(F.array(
+        F.when(tool.isNotNull(), entry("tool", tool, tool)), F.when(modified, entry("file", *path)),
+        F.when(commit, entry("commit", *event)), F.when(is_error(), entry("error", *event)),
+        F.when(commit | is_error() | modified, entry("moment", *event))))
+    # One pass: tools and files combine per session, events stay as they are.
+    listed = events.select("session_id", "ts", F.explode(entries).alias("e"))
+    combined = listed.groupBy("session_id", "e.kind", "e.item", "e.label").agg(
+        F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
+    return number_rows(combined, ["session_id", "kind"], "ts", "item", "pos")
 
 
 def summary_lists(items: DataFrame, part_size: int = 1000) -> DataFrame:

@@ -6,8 +6,6 @@ whatever the reader does with time zones.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.redaction import redact_json
 from tracewell.functions.scalars import default_agent_id, is_valid_agent_id, log_severity, mask_secret, mask_url
 from tracewell.functions.vectors import cosine, noop_vector
+from tracewell.operators.checkpoints import work_dir
 from tracewell.operators.embedding import check_dims, embed
 from tracewell.operators.memory import list_memory, memory_view, visible
 from tracewell.operators.retention import apply_retention
@@ -56,14 +55,6 @@ def us(col: str) -> Column:
     return F.unix_micros(col).alias(f"{col.split('.')[-1]}_us")
 
 
-def _work_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder of the session; local without one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-")
-
-
 SYSTEM_COLUMNS = ("event_id", "trace_id", "span_id", "parent_span_id", "source_type", "signal", "source_service", "severity",
                   "event_name", "message", "attributes", "resource", "duration_ms")
 
@@ -123,7 +114,7 @@ def event_batches(spark, sf):
 @query
 def append_by_day(spark, sf):
     """Append both kinds of system events to a partitioned table and read it back."""
-    path = f"{_work_dir(spark)}/system_events"
+    path = f"{work_dir(spark)}/system_events"
     written = append_events(w.system_events(spark, sf), path)
     stored = spark.read.parquet(path)
     return stored.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("day")).agg(
@@ -462,7 +453,7 @@ NOW = {"availableNow": True}
 
 
 def _stream_dirs(spark, *names):
-    base = _work_dir(spark)
+    base = work_dir(spark)
     return [f"{base}/{n}" for n in (*names, "checkpoint")]
 
 
