@@ -18,6 +18,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tracewell.functions.expr import BIGINT_MAX, BIGINT_MIN, let
 from tracewell.functions.scalars import short_float
@@ -136,7 +137,7 @@ def _finish_one(text: str) -> str:
         return WRONG
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _finish_list(texts: pd.Series) -> pd.Series:
     return texts.map(lambda row: [_finish_one(t) for t in row])
 
@@ -153,7 +154,7 @@ def finish_odd(odd: Column) -> Column:
 def any_value(v: Column) -> Column:
     """Typed value to a variant; NULL when it is ill-typed."""
     text = lone_value_json(v)
-    done = F.when(text.startswith(ODD), F.get(_finish_list(F.array(text)), F.lit(0))).otherwise(text)
+    done = F.coalesce(F.get(_finish_list(odd_texts(F.array(text))), F.lit(0)), text)
     return F.try_variant_get(F.try_parse_json(F.nullif(done, F.lit(WRONG))), "$['']", "variant")
 
 
