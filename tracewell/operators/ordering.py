@@ -20,19 +20,21 @@ def number_rows(df: DataFrame, group: Sequence[str], ts: str, tie: str, name: st
     and a slice starts after the rows counted in the earlier ones. Only the
     counts, at most one per slice of the group's time span, meet in one place.
     """
-    keys = [*group, "_slice"]
-    sliced = df.withColumn("_slice", time_slice(F.col(ts), slice_seconds * MICROS))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
-        .select(*keys, F.coalesce(before, F.lit(0)).alias("_before"))
+    # NULL groups count as groups. Their keys are plain columns, so that the rows
+    # are shuffled once, for the window and the join alike.
+    names = [f"_group{i}" for i in range(len(group))]
+    keyed = df.withColumns({
+        **{n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(names, group)},
+        "_nulls": F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in group]),
+        "_slice": time_slice(F.col(ts), slice_seconds * MICROS),
+    })
+    owner = [*names, "_nulls"]
+    keys = [*owner, "_slice"]
+    before = F.sum("_n").over(Window.partitionBy(*owner).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(ts, tie))
-    numbered = sliced.withColumn("_inside", inside)
-    matched = [numbered[k].eqNullSafe(offsets[k]) for k in keys]
-    condition = matched[0]
-    for m in matched[1:]:
-        condition = condition & m
-    return numbered.join(offsets, condition).select(
-        *[numbered[c] for c in df.columns], (F.col("_inside") + F.col("_before")).alias(name))
+    return keyed.withColumn("_inside", inside).join(offsets, keys) \
+        .select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name))
 
 
 def time_slice(ts: Column, width_micros: int) -> Column:

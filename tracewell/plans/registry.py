@@ -123,7 +123,7 @@ def append_by_day(spark, sf):
 
 @query
 def redact_params(spark, sf):
-    return redact_json(w.agent_events(spark, sf), ["params", "result"]).select("event_id", "params", "result")
+    return redact_json(w.spread(w.agent_events(spark, sf)), ["params", "result"]).select("event_id", "params", "result")
 
 
 @query

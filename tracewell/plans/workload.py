@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) ->
     return spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The sample tables are single files; costly work per row is spread over the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def as_of() -> Column:
     return F.timestamp_seconds(F.lit(AS_OF_SECONDS))
 
@@ -57,7 +63,7 @@ def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     )
 
 
-def agent_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+def agent_events(spark: SparkSession, sf_dir: str, stream: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     kind, k = F.col("kind"), F.col("k")
     tool = (
         F.when(kind == "view", "Read").when(kind == "signup", "Edit")
@@ -87,7 +93,7 @@ def agent_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> Data
         _trace_id(F.col("block")).alias("trace_id"), _span_id("s", F.col("event_id")).alias("span_id"),
         F.when(child, _span_id("s", parent)).alias("parent_span_id"),
         F.when(child, parent.cast("string")).alias("spawned_by"),
-        F.col("ts").alias("created_at"),
+        F.col("ts").alias("created_at"), *keep,
     )
 
 
@@ -120,9 +126,7 @@ def system_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> Dat
 
 def hook_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hook call per agent event; slow, cheap and rare ones are defective."""
-    e = agent_events(spark, sf_dir)
-    value = events(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), "value")
-    e = e.join(value, "event_id")
+    e = spread(agent_events(spark, sf_dir, keep=("value",)))
     good = F.concat(
         F.lit('{"tool_name":"'), F.col("tool_name"), F.lit('","tool_input":'), F.col("params"),
         F.lit(',"tool_output":'), F.when(F.col("value") < 0.5, '"done"').otherwise(F.col("result")),
