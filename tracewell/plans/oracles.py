@@ -131,6 +131,8 @@ SELECT s.event_id, s.trace_id, o.session_id FROM system_events s LEFT JOIN owner
 _SUMMARY = f"""SELECT session_id, agent_id, CAST(floor((max(us) - min(us)) / 1000000) AS BIGINT) AS duration_seconds, count(*) AS event_count,
   count(DISTINCT CASE WHEN {_MODIFIES} THEN path END) AS files_modified, count(DISTINCT tool_name) AS tools_used,
   count(*) FILTER (event_type = 'git_commit') AS commits, count(*) FILTER (severity = 'error') AS errors FROM se GROUP BY ALL"""
+_NEXT = """nx AS (SELECT *, lead(event_id) OVER n AS to_id, lead(tool_name) OVER n AS to_tool FROM se
+  WINDOW n AS (PARTITION BY session_id ORDER BY us, num))"""
 _CLOSED = f"last_event_at_us + {_12H} <= (SELECT max(us) FROM agent_events) - 600000000"
 _AGENTS = "min(started_at_us) AS first_seen_us, max(last_event_at_us) AS last_seen_us"
 _VECTORS = """SELECT q.vec_id AS query_id, {id}, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS sim"""
@@ -248,6 +250,18 @@ ORACLES = {
         FROM x LEFT JOIN tree t ON x.event_id = t.event_id AND x.trace_id = t.trace_id""",
     "spawn_edge_list": f"""WITH {_EVENTS} SELECT p.event_id AS parent_id, c.event_id AS child_id, p.agent_id AS parent_agent,
         c.agent_id AS child_agent FROM agent_events c JOIN agent_events p ON c.spawned_by = p.event_id""",
+    "edges_followed_by": f"{_S12}, {_NEXT} SELECT session_id, event_id AS from_id, to_id FROM nx WHERE to_id IS NOT NULL",
+    "edges_tool_patterns": f"""{_S12}, {_NEXT} SELECT tool_name AS from_tool, to_tool, count(*) AS times FROM nx
+        WHERE to_id IS NOT NULL GROUP BY ALL""",
+    "edges_touched": f"WITH {_EVENTS} SELECT event_id, path FROM agent_events WHERE path IS NOT NULL",
+    "edges_caused_by": f"""WITH {_EVENTS} SELECT p.event_id AS parent_id, c.event_id AS child_id FROM agent_events c
+        JOIN agent_events p ON c.spawned_by = p.event_id UNION SELECT p.event_id, c.event_id FROM agent_events c JOIN agent_events p
+        ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id""",
+    "edges_owns": f"{_S12} SELECT agent_id, session_id FROM sessions",
+    "edges_spawned_sessions": f"""{_S12} SELECT DISTINCT p.session_id AS parent_session, c.session_id AS child_session FROM se c
+        JOIN se p ON c.spawned_by = p.event_id WHERE p.session_id <> c.session_id""",
+    "calls_enriched": f"""WITH {_EVENTS} SELECT event_id, CASE WHEN tool_type = 'mcp' THEN 'git' END AS mcp_server, FALSE AS is_subagent,
+        severity FROM agent_events""",
     "memory_entries": f"WITH {_MEMORY} SELECT agent_id, key, value, shared, created_at_us, updated_at_us FROM memory",
     "memory_visible": f"WITH {_MEMORY} SELECT agent_id, key, value, shared FROM memory WHERE agent_id = 'agent-1' OR shared",
     "memory_list_tagged": f"""WITH {_MEMORY} SELECT agent_id, key, value, updated_at_us FROM memory

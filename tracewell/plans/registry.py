@@ -16,6 +16,7 @@ from tracewell.functions.redaction import redact_json
 from tracewell.functions.scalars import default_agent_id, is_valid_agent_id, log_severity, mask_secret, mask_url
 from tracewell.functions.vectors import cosine, noop_vector
 from tracewell.operators.checkpoints import work_dir
+from tracewell.operators.edges import caused_by, enrich_calls, followed_by, owns, spawned_sessions, tool_patterns, touched
 from tracewell.operators.embedding import check_dims, embed
 from tracewell.operators.memory import list_memory, memory_view, visible
 from tracewell.operators.retention import apply_retention
@@ -370,6 +371,41 @@ def spawn_edge_list(spark, sf):
     return spawn_edges(w.agent_events(spark, sf))
 
 
+@query
+def edges_followed_by(spark, sf):
+    return followed_by(_sessionized(spark, sf)).select("session_id", "from_id", "to_id")
+
+
+@query
+def edges_tool_patterns(spark, sf):
+    return tool_patterns(_sessionized(spark, sf))
+
+
+@query
+def edges_touched(spark, sf):
+    return touched(w.agent_events(spark, sf))
+
+
+@query
+def edges_caused_by(spark, sf):
+    return caused_by(w.agent_events(spark, sf))
+
+
+@query
+def edges_owns(spark, sf):
+    return owns(_sessionized(spark, sf))
+
+
+@query
+def edges_spawned_sessions(spark, sf):
+    return spawned_sessions(_sessionized(spark, sf))
+
+
+@query
+def calls_enriched(spark, sf):
+    return enrich_calls(w.agent_events(spark, sf)).select("event_id", "mcp_server", "is_subagent", "severity")
+
+
 def _memory(spark, sf):
     return memory_view(w.memory_log(spark, sf))
 
