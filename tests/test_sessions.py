@@ -152,3 +152,10 @@ def test_number_rows_with_nulls_and_ties(spark):
     for g in ("a", None):
         mine = sorted((r for r in got if r.g == g), key=lambda r: (r.ts, r.id))
         assert [r.n for r in mine] == list(range(1, 201))
+
+
+def test_incomplete_events_are_kept(spark):
+    rows = [("e1", "a", "t", START, "{}"), ("e2", None, "t", START, "{}"), ("e3", "a", None, START, "{}"), ("e4", "a", "t", None, "{}")]
+    got = {r.event_id: r.session_id is not None for r in sessionize(frame(spark, rows)).collect()}
+    assert got == {"e1": True, "e2": False, "e3": False, "e4": False}
+    assert session_rollup(frame(spark, rows), F.lit(START)).count() == 1

@@ -64,7 +64,8 @@ def _slotted(events: DataFrame, timeout: timedelta, closes: DataFrame | None) ->
 def _segments(slotted: DataFrame, timeout: timedelta, closes: DataFrame | None, extra: list[Column]) -> DataFrame:
     """One row per slot piece, with the start of its session and the next close."""
     us = F.unix_micros("ts")
-    pieces = slotted.groupBy(*_SLOT).agg(
+    complete = F.col("_slot").isNotNull() & F.col("agent_id").isNotNull() & F.col("session_token").isNotNull()
+    pieces = slotted.where(complete).groupBy(*_SLOT).agg(
         F.min(us).alias("_first"), F.max(us).alias("_last"), F.count(F.lit(1)).alias("_n"), *extra)
     if closes is not None:
         marks = _close_times(closes, timeout).select(*OWNER, F.col("_closed"), F.col("_closed").alias("_first"))
@@ -95,12 +96,13 @@ def sessionize(events: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT, closes:
 
     ``closes`` has ``agent_id, session_token, closed_at``; an event after a
     close starts a new session, one at the same instant still belongs to the old.
+    An event without agent, token or time is kept with a NULL session.
     """
     slotted = _slotted(events, timeout, closes)
     found = _segments(slotted, timeout, closes, []).select(
         *_SLOT, "session_id", "session_seq", F.timestamp_micros("_started").alias("session_started_at"))
     names = [c for c in events.columns if c not in ("session_id", "session_seq", "session_started_at")]
-    return slotted.select(*names, "_slot", "_cut").join(found, _SLOT) \
+    return slotted.select(*names, "_slot", "_cut").join(found, _SLOT, "left") \
         .select(*names, "session_id", "session_seq", "session_started_at")
 
 

@@ -29,9 +29,16 @@ def stream_correlate(system: DataFrame, agent: DataFrame, watermark: str = "10 m
 
 
 def start_correlator(system: DataFrame, agent_table: Callable[[], DataFrame], sink: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Link each micro-batch of system events against the agent events stored so far."""
+    """Link each micro-batch of system events against the agent events stored so far.
+
+    Only agent events of the batch's own traces are shuffled.
+    """
     def link(batch: DataFrame, batch_id: int) -> None:
-        correlate(batch, agent_table()).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        batch.persist()
+        traces = batch.select("trace_id").distinct()
+        linked = correlate(batch, agent_table().join(traces, "trace_id", "left_semi"))
+        linked.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        batch.unpersist()
 
     return system.writeStream.foreachBatch(link).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"processingTime": CORRELATE_EVERY})).start()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewell.operators.sessions import DEFAULT_TIMEOUT, OWNER, session_id
+from tracewell.operators.sessions import DEFAULT_TIMEOUT, OWNER, attach_sessions, session_id
 from tracewell.operators.summaries import session_summary
 
 
@@ -22,6 +22,8 @@ def stream_sessions(events: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT, wat
 
     The same ids as the batch operator gives. Sessions still open stay in state.
     """
+    # An agent with a large share of the events sends one row per task, not all of them.
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     us = F.unix_micros("ts")
     windows = events.select("event_id", *OWNER, "ts").withWatermark("ts", watermark) \
         .groupBy(*OWNER, F.session_window("ts", _interval(timeout))) \
@@ -32,6 +34,15 @@ def stream_sessions(events: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT, wat
         F.col("session_window.end").alias("ended_at"), "event_count")
 
 
+def _events_of(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Stored events of some sessions; only the days these span are read."""
+    low, high = sessions.agg(F.min("started_at"), F.max("last_event_at")).first()
+    recent = events.where(F.col("ts").between(F.lit(low), F.lit(high)))
+    if "event_date" in events.columns:
+        recent = recent.where(F.col("event_date").between(F.to_date(F.lit(low)), F.to_date(F.lit(high))))
+    return attach_sessions(recent, sessions).where(F.col("session_id").isNotNull())
+
+
 def on_session_close(stored_events: Callable[[], DataFrame], sessions_path: str, summaries_path: str, retry_path: str,
                      summarize: Callable[[DataFrame], DataFrame] | None = session_summary) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function for closed sessions.
@@ -47,12 +58,10 @@ def on_session_close(stored_events: Callable[[], DataFrame], sessions_path: str,
         if summarize is None:
             return
         stored = spark.read.parquet(f"{sessions_path}/{folder}")
-        bounds = stored.select("session_id", *OWNER, F.col("started_at").alias("_from"), F.col("last_event_at").alias("_to"))
-        e = stored_events()
-        owned = e.select(*[c for c in e.columns if c != "session_id"]).join(bounds, OWNER) \
-            .where(F.col("ts").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+        if stored.isEmpty():
+            return
         try:
-            summarize(owned).write.mode("overwrite").parquet(f"{summaries_path}/{folder}")
+            summarize(_events_of(stored_events(), stored)).write.mode("overwrite").parquet(f"{summaries_path}/{folder}")
         except Exception as error:  # a summary failure must never block the close
             stored.select("session_id", F.lit(str(error)[:500]).alias("error")).write.mode("overwrite").parquet(f"{retry_path}/{folder}")
 
