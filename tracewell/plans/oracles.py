@@ -269,10 +269,10 @@ ORACLES = {
     "memory_search_top": f"""WITH {_MEMORY}, scored AS ({_VECTORS.format(id="c.agent_id, c.key, c.value, c.agent_id || '|' || c.key AS id")}
           FROM embeddings q, memory c WHERE c.agent_id = 'agent-1' OR c.shared),
         best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM scored)
-        SELECT query_id, rank, round(sim, 6) AS similarity, agent_id, key, value FROM best WHERE rank <= 5""",
+        SELECT query_id, rank, sim AS similarity, agent_id, key, value FROM best WHERE rank <= 5""",
     "memory_recall": f"""WITH scored AS ({_VECTORS.format(id="c.vec_id AS id")} FROM embeddings q, embeddings c WHERE q.vec_id <> c.vec_id),
         best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, CAST(id AS VARCHAR)) AS rank FROM scored)
-        SELECT query_id, rank, id, round(sim, 6) AS similarity FROM best WHERE rank <= 3""",
+        SELECT query_id, rank, id, sim AS similarity FROM best WHERE rank <= 3""",
     "cosine_self": """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS similarity,
         CAST(NULL AS DOUBLE) AS with_zero FROM embeddings""",
     "vector_dims": "SELECT vec_id, label <> 0 AS ok FROM embeddings",

@@ -434,16 +434,14 @@ def _vectors(spark, sf, id_name):
 def memory_search_top(spark, sf):
     """Best entries visible to one agent, for every vector of the table as a query."""
     hits = memory_search(_memory(spark, sf), _vectors(spark, sf, "query_id"), k=5, agent="agent-1")
-    return hits.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", F.round("similarity", 6).alias("similarity"),
-                       "agent_id", "key", "value")
+    return hits.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", "similarity", "agent_id", "key", "value")
 
 
 @query
 def memory_recall(spark, sf):
     """Similar past situations for every vector, itself excluded."""
     hits = recall(_vectors(spark, sf, "query_id"), _vectors(spark, sf, "id"), k=3)
-    return hits.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", F.col("id").cast("bigint").alias("id"),
-                       F.round("similarity", 6).alias("similarity"))
+    return hits.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", F.col("id").cast("bigint").alias("id"), "similarity")
 
 
 @query
