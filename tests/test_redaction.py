@@ -2,7 +2,6 @@ import json
 import random
 
 from pyspark.sql import Observation
-from pyspark.sql import functions as F
 
 from tracewell.functions.redaction import redact_json
 from tracewell.functions.scalars import REDACTED, SENSITIVE_PATTERNS

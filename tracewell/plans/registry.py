@@ -225,8 +225,7 @@ def agent_rollup_all(spark, sf):
 
 @query
 def agents_new(spark, sf):
-    """Agents of the events not among those that made a trace-less request: customers
-    stand for the registered agents."""
+    """Agents of the events that are not registered; household customers stand for the registered ones."""
     known = w.table(spark, sf, "customer").where(F.col("c_mktsegment") == "HOUSEHOLD").select(
         F.concat(F.lit("agent-"), F.col("c_custkey").cast("string")).alias("agent_id"))
     return new_agents(w.agent_events(spark, sf), known).select("agent_id", us("first_seen"), us("last_seen"), "total_events")
