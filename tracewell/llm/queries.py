@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.extendible_dedup import exact_dedup
 from tracewell.llm.jump_shards import shard
 from tracewell.llm.line_chunks import line_dedup
+from tracewell.llm.order_packing import pack
+from tracewell.llm.prefix_bpe import decoder, encode
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +57,34 @@ FROM normed WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
 
 
+@query
+def op6_prefix_bpe(spark, sf):
+    """Ids of every whole text and the bytes they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    made: list = []
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(arrays: pd.Series) -> pd.DataFrame:
+        if not made:
+            made.append(decoder(path))
+        ids = [np.asarray(a) for a in arrays]
+        return pd.DataFrame({
+            "n_tokens": [len(a) for a in ids],
+            "ids_sha256": [hashlib.sha256(a.astype("<u4").tobytes()).hexdigest() for a in ids],
+            "decoded_sha256": [hashlib.sha256(made[0](a)).hexdigest() for a in ids]},
+            columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    tokens = encode(table(spark, sf, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return tokens.select("doc_id", digests("ids").alias("d")).select("doc_id", "d.*")
+
+
+@query
+def op10_order_packing(spark, sf):
+    """The pieces of all documents in sequences of at most 2048 tokens."""
+    pieces = pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op9_line_chunks(spark, sf):
     """Lines and chunks of every document, what is removed and what is left."""
