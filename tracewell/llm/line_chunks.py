@@ -66,7 +66,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     later = places.join(repeated, ["sum", "bytes"]).where(~F.col("place").eqNullSafe(F.col("first")))
     key = F.xxhash64("no", "sum", "bytes")
     drops = stored(later.groupBy(F.col("id").alias("_t_id")).agg(F.collect_set(key).alias("_t_drop")))
-    found = docs.join(drops, F.col(doc_id).eqNullSafe(F.col("_t_id")), "left")
+    # what is dropped grows with the input: never broadcast, the same plan at every size
+    found = docs.join(drops.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_t_id")), "left")
 
     def result(all_chunks: Column) -> Column:
         def stays(c: Column) -> Column:
