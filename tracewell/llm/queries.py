@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.extendible_dedup import exact_dedup
+from tracewell.llm.gray_simhash import fingerprints, simhash_dedup
 from tracewell.llm.jump_shards import shard
 from tracewell.llm.line_chunks import line_dedup
 from tracewell.llm.order_packing import pack
@@ -32,6 +33,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op3_gray_simhash(spark, sf):
+    """Fingerprint of every document and the smallest id reachable over links of at most 3 bits."""
+    printed = fingerprints(table(spark, sf, "documents").select("doc_id", "text"), width=3).drop("text")
+    return simhash_dedup(printed, most=3).select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op4_jump_shards(spark, sf):
     """Shard, slot and the shard after growth of every document."""
