@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.extendible_dedup import exact_dedup
+from tracewell.llm.factorisation import is_held_out, score, train
 from tracewell.llm.gray_simhash import fingerprints, simhash_dedup
 from tracewell.llm.jump_shards import shard
 from tracewell.llm.line_chunks import line_dedup
@@ -86,6 +87,14 @@ def op6_prefix_bpe(spark, sf):
     return tokens.select("doc_id", digests("ids").alias("d")).select("doc_id", "d.*")
 
 
+@query
+def op7_factorisation(spark, sf):
+    """Quality score of every whole text, by a model fitted on labelled rows that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    scored = score(docs, train(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 @query
 def op10_order_packing(spark, sf):
     """The pieces of all documents in sequences of at most 2048 tokens."""
