@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.column_suffixes import suffix_dedup
 from tracewell.llm.extendible_dedup import exact_dedup
 from tracewell.llm.factorisation import is_held_out, score, train
 from tracewell.llm.gray_simhash import fingerprints, simhash_dedup
@@ -95,6 +96,13 @@ def op7_factorisation(spark, sf):
     return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+@query
+def op8_column_suffixes(spark, sf):
+    """Bytes of every whole text without the 400-byte strings that start anywhere else too."""
+    return suffix_dedup(table(spark, sf, "documents").select("doc_id", "text"), length=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_order_packing(spark, sf):
     """The pieces of all documents in sequences of at most 2048 tokens."""
