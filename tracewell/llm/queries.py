@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.column_suffixes import suffix_dedup
+from tracewell.llm.cover_tree import near_vectors
 from tracewell.llm.extendible_dedup import exact_dedup
 from tracewell.llm.factorisation import is_held_out, score, train
 from tracewell.llm.gray_simhash import fingerprints, simhash_dedup
@@ -35,6 +36,32 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_cover_tree(spark, sf):
+    """Links and component of every vector, over pairs of equal label with cosine 0.98 or more."""
+    return near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"), least=0.98).select(
+        "vec_id", "n_links", "component_id", "kept")
+
+
+ORACLES["op1_cover_tree"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT vec_id AS pt, vec_id AS low FROM embeddings
+  UNION
+  SELECT l.b AS pt, r.low FROM reach r JOIN links l ON l.a = r.pt),
+lowest AS (SELECT pt, min(low) AS low FROM reach GROUP BY pt),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, e.vec_id = low AS kept
+FROM embeddings e LEFT JOIN counted ON a = e.vec_id LEFT JOIN lowest ON pt = e.vec_id
+"""
+
+
 @query
 def op3_gray_simhash(spark, sf):
     """Fingerprint of every document and the smallest id reachable over links of at most 3 bits."""
