@@ -20,6 +20,7 @@ from tracewell.llm.jump_shards import shard
 from tracewell.llm.line_chunks import line_dedup
 from tracewell.llm.order_packing import pack
 from tracewell.llm.prefix_bpe import decoder, encode
+from tracewell.llm.zip_warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,6 +63,28 @@ FROM embeddings e LEFT JOIN counted ON a = e.vec_id LEFT JOIN lowest ON pt = e.v
 """
 
 
+@query
+def op2_zip_warc(spark, sf):
+    """Every page as a WARC record in ZIP packages, read back by range."""
+    records = read_archives(write_archives(table(spark, sf, "pages"), least_bytes=0))
+    return records.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+ORACLES["op2_zip_warc"] = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages)
+SELECT page_id, strlen(payload) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed
+"""
+
+
 @query
 def op3_gray_simhash(spark, sf):
     """Fingerprint of every document and the smallest id reachable over links of at most 3 bits."""
