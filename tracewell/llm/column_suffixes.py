@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.tables import stored, whole_text
@@ -257,6 +257,15 @@ def repeated_ranges(texts: DataFrame, length: int = 400, largest: int = LARGEST_
     return out
 
 
+def as_text(kept: Column) -> Column:
+    """Kept bytes as text, without the parts of characters that a cut went through."""
+    @F.pandas_udf("string")
+    def decoded(parts: pd.Series) -> pd.Series:
+        return pd.Series([data.decode("utf-8", "ignore") for data in parts], dtype=object)
+
+    return decoded(kept)
+
+
 def suffix_dedup(docs: DataFrame, length: int = 400, text: str = "text", largest: int = LARGEST_GROUP) -> DataFrame:
     """Add n_bytes, n_removed, n_spans and kept (the bytes left) to every row.
 
