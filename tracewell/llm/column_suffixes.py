@@ -20,6 +20,7 @@ A string of ``length`` bytes that starts in two places is found in three steps.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import stored, whole_text
+from tracewell.llm.tables import bucketed, discard, stored, whole_text
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Bytes hashed at once; contexts sorted at once; contexts of one anchor sorted in one task.
@@ -181,80 +182,89 @@ def _sorted_collections(keyed: DataFrame, length: int, gram: int) -> DataFrame:
         run, "row long, start long, stop long")
 
 
-def _split_hot(contexts: DataFrame, length: int, largest: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Contexts in groups of at most ``largest``, and the ranges settled on the way.
+def _cut(places: DataFrame, texts: DataFrame, length: int, before: int) -> DataFrame:
+    """The contexts (key, row, at, left, data) of places (gram, row, at); texts are divided by row and stay where they are."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, text, some in zip(batch["_t_row"], batch["_t_text"], batch["places"]):
+                for place in some:
+                    at = place["at"]
+                    left = min(at, before)
+                    out.append((place["gram"], row, at, left, text[at - left:at + length]))
+                if len(out) >= 20_000:
+                    yield pd.DataFrame(out, columns=["key", "row", "at", "left", "data"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["key", "row", "at", "left", "data"])
+
+    of_row = stored(places.groupBy(F.col("row").alias("_t_row")).agg(F.collect_list(F.struct("gram", "at")).alias("places")))
+    return texts.join(of_row.hint("merge"), "_t_row").select("_t_row", F.col("_t_text").cast("binary").alias("_t_text"), "places").mapInPandas(
+        run, "key long, row long, at long, left long, data binary")
+
+
+def _split_hot(contexts: DataFrame, length: int, before: int, largest: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of groups that are too large, in groups of at most ``largest``; and the ranges settled on the way.
 
-    A group that is too large is split by the starts of its strings: half of
-    the starts go to one part, half to the other. All strings of a part share
-    a core of bytes, so contexts with different cores part company; contexts
-    that agree in all bytes of the part settle each other, and one of them
-    goes on. With one start left, core and string are the same. Every step is
-    a grouping by hash with map-side sums, so no group ever meets in a task.
+    A group is split by the starts of its strings: half of the starts go to
+    one part, half to the other. All strings of a part share a core of bytes,
+    so contexts with different cores part company; contexts that agree in all
+    bytes of the part settle each other, and one of them goes on. With one
+    start left, core and string are the same. Every step is a grouping by hash
+    with map-side sums, so no group ever meets in a task.
     """
-    settled: list[DataFrame] = []
-    while True:
-        sizes = stored(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {largest}").select("key"))
-        if sizes.isEmpty():
-            return contexts, settled
-        large = contexts.join(sizes, "key", "left_semi").where("low < high")
-        small = contexts.join(sizes, "key", "left_anti")
+    columns = ("key", "row", "at", "left", "data")
+    large = stored(contexts.select(*columns, F.lit(-before).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high")))
+    small, settled = [], []
+    while not large.isEmpty():
         middle = F.expr("low + (high - low) div 2")
         halves = large.select("*", F.explode(F.array(F.struct(F.col("low").alias("l"), middle.alias("h")),
                                                      F.struct((middle + 1).alias("l"), F.col("high").alias("h")))).alias("part"))
         first, last = F.greatest(F.col("part.l"), -F.col("left")), F.least(F.col("part.h"), F.octet_length("data") - F.col("left") - length)
-        halves = halves.where(first <= last)
         core = F.expr(f"substring(data, cast(left + part.h + 1 as int), cast({length} - (part.h - part.l) as int))")
         hull = F.substring("data", (F.col("left") + first + 1).cast("int"), (last - first + length).cast("int"))
-        parts = stored(halves.select(
+        parts = stored(halves.where((first <= last) & (F.col("part.l") <= F.col("part.h"))).select(
             F.xxhash64("key", "part.l", core).alias("key"), "row", "at", "left", "data", F.col("part.l").alias("low"), F.col("part.h").alias("high"),
             F.xxhash64(first, hull).alias("hull"), first.alias("first"), last.alias("last"), F.xxhash64("row", "at").alias("pick")))
         hulls = stored(parts.groupBy("key", "hull").agg(F.count(F.lit(1)).alias("n"), F.min("pick").alias("picked")))
-        kinds = hulls.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
-        judged = stored(parts.join(hulls, ["key", "hull"]))
-        settled.append(judged.where("n > 1").select("row", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + length).alias("stop")))
-        again = judged.where("pick = picked").join(kinds, "key", "left_semi")
-        contexts = stored(small.select(*contexts.columns).unionByName(again.select(*contexts.columns)))
+        kinds = stored(hulls.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+        settled.append(stored(parts.drop("data").join(hulls.where("n > 1").hint("merge"), ["key", "hull"]).select(
+            "row", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + length).alias("stop"))))
+        one = parts.join(hulls.hint("merge"), ["key", "hull"]).where("pick = picked").join(kinds.hint("merge"), "key")
+        small.append(stored(one.where(f"kinds <= {largest}").select(*columns)))
+        rest = stored(one.where(f"kinds > {largest}").select(*columns, "low", "high"))
+        discard(large, parts, hulls, kinds)
+        large = rest
+    return small, settled
 
 
 def repeated_ranges(texts: DataFrame, length: int = 400, largest: int = LARGEST_GROUP) -> DataFrame:
-    """Ranges (row, start, stop) of bytes covered by a string of ``length`` bytes that starts anywhere else too."""
+    """Ranges (row, start, stop) covered by a string of ``length`` bytes that starts anywhere else too.
+
+    ``texts`` (_t_row, _t_text) is divided by row. Only hashes and places are
+    shuffled until contexts that differ are cut out of the texts.
+    """
     gram = max(1, length // 4)
     before = length - gram
     found = stored(anchors(texts, length, gram))
     grams = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
                    .select("gram", (F.col("low") != F.col("high")).alias("mixed")))
     repeated = stored(found.join(grams.hint("merge"), "gram"))
+    discard(found, grams)
     kinds = stored(repeated.where("mixed").groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("at").alias("at")))
-    alike = repeated.where("mixed").join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"]).select("row", "at")
-    settled = repeated.where("NOT mixed").select("row", "at").unionAll(alike)
+    alike = repeated.where("mixed").join(kinds.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"])
+    settled = repeated.where("NOT mixed").select("row", "at").unionAll(alike.select("row", "at"))
     # the whole context of a settled anchor is covered, as far as its document goes: cut to it when it is removed
-    ranges = [settled.select("row", F.greatest(F.col("at") - before, F.lit(0)).alias("start"), (F.col("at") + length).alias("stop"))]
-    places = kinds.groupBy("row").agg(F.collect_list(F.struct("gram", "at")).alias("places"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row, text, some in zip(batch["row"], batch["data"], batch["places"]):
-                for place in some:
-                    at = place["at"]
-                    left = min(at, before)
-                    out.append((place["gram"], row, at, left, text[at - left:at + length]))
-                if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=["key", "row", "at", "left", "data"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["key", "row", "at", "left", "data"])
-
-    bodies = texts.select(F.col("_t_row").alias("row"), F.col("_t_text").cast("binary").alias("data")).join(stored(places).hint("merge"), "row")
-    contexts = stored(bodies.mapInPandas(cut, "key long, row long, at long, left long, data binary").select(
-        "*", F.lit(-before).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high")))
-    contexts, more = _split_hot(contexts, length, largest)
-    ranges += [*more, _sorted_collections(contexts, length, gram)]
-    out = ranges[0]
-    for r in ranges[1:]:
-        out = out.unionAll(r)
-    return out
+    ranges = stored(settled.select("row", F.greatest(F.col("at") - before, F.lit(0)).alias("start"), (F.col("at") + length).alias("stop")))
+    discard(repeated)
+    hot = stored(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where(f"kinds > {largest}"))
+    contexts, more = [_cut(kinds.join(hot, "gram", "left_anti"), texts, length, before)], []
+    if not hot.isEmpty():
+        small, more = _split_hot(_cut(kinds.join(hot, "gram", "left_semi"), texts, length, before), length, before, largest)
+        contexts += small
+    sorted_ranges = _sorted_collections(reduce(DataFrame.unionAll, contexts), length, gram)
+    return reduce(DataFrame.unionAll, [ranges, *more, sorted_ranges])
 
 
 def as_text(kept: Column) -> Column:
@@ -275,7 +285,10 @@ def suffix_dedup(docs: DataFrame, length: int = 400, text: str = "text", largest
     repeat each other. NULL is an empty text; texts shorter than ``length``
     stay whole. An empty table gives an empty result.
     """
-    rows = stored(docs.drop(*RESULTS).withColumns({"_t_row": F.monotonically_increasing_id(), "_t_text": whole_text(text)}))
+    docs = docs.drop(*RESULTS)
+    plain = [c for c in docs.columns if c.lower() != text.lower()]  # the text itself is stored once
+    rows = bucketed(docs.select(*plain, F.col(text).isNull().alias("_t_null"), whole_text(text).alias("_t_text"),
+                                F.monotonically_increasing_id().alias("_t_row")), "_t_row")
     ranges = repeated_ranges(rows.select("_t_row", "_t_text"), length, largest)
     spans = stored(ranges.groupBy(F.col("row").alias("_t_at")).agg(F.collect_set(F.struct("start", "stop")).alias("_t_spans")))
 
@@ -299,4 +312,4 @@ def suffix_dedup(docs: DataFrame, length: int = 400, text: str = "text", largest
 
     joined = rows.join(spans.hint("merge"), rows["_t_row"] == spans["_t_at"], "left")
     return (joined.withColumn("_t", removed(F.col("_t_text").cast("binary"), "_t_spans"))
-            .select(*[c for c in docs.columns if c not in RESULTS], "_t.*"))
+            .withColumn(text, F.when(~F.col("_t_null"), F.col("_t_text"))).select(*docs.columns, "_t.*"))

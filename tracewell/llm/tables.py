@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like ``stored``, but divided by ``key``, so that later joins on it move only their other side."""
+    spark = df.sparkSession
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"t_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", work_dir(spark)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole_text(text: str) -> Column:
     """The text, empty for NULL."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
