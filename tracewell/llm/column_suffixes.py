@@ -225,12 +225,14 @@ def _split_hot(contexts: DataFrame, length: int, before: int, largest: int) -> t
         hull = F.substring("data", (F.col("left") + first + 1).cast("int"), (last - first + length).cast("int"))
         parts = stored(halves.where((first <= last) & (F.col("part.l") <= F.col("part.h"))).select(
             F.xxhash64("key", "part.l", core).alias("key"), "row", "at", "left", "data", F.col("part.l").alias("low"), F.col("part.h").alias("high"),
-            F.xxhash64(first, hull).alias("hull"), first.alias("first"), last.alias("last"), F.xxhash64("row", "at").alias("pick")))
-        hulls = stored(parts.groupBy("key", "hull").agg(F.count(F.lit(1)).alias("n"), F.min("pick").alias("picked")))
+            F.xxhash64(first, hull).alias("hull"), first.alias("first"), last.alias("last")))
+        # any of the contexts that agree can go on: they agree in all bytes that are looked at from here
+        hulls = stored(parts.groupBy("key", "hull").agg(
+            F.count(F.lit(1)).alias("n"), F.first(F.struct(*columns[1:], "low", "high")).alias("one")))
         kinds = stored(hulls.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-        settled.append(stored(parts.drop("data").join(hulls.where("n > 1").hint("merge"), ["key", "hull"]).select(
+        settled.append(stored(parts.drop("data").join(hulls.where("n > 1").select("key", "hull").hint("merge"), ["key", "hull"]).select(
             "row", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + length).alias("stop"))))
-        one = parts.join(hulls.hint("merge"), ["key", "hull"]).where("pick = picked").join(kinds.hint("merge"), "key")
+        one = hulls.select("key", "one.*").join(kinds.hint("merge"), "key")
         small.append(stored(one.where(f"kinds <= {largest}").select(*columns)))
         rest = stored(one.where(f"kinds > {largest}").select(*columns, "low", "high"))
         discard(large, parts, hulls, kinds)
