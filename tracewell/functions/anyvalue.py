@@ -111,7 +111,10 @@ def _plain(node) -> object:
     if whole is not None:
         if not re.fullmatch(r"[+-]?[0-9]+", whole, re.ASCII):
             return 0
-        return min(max(int(whole), BIGINT_MIN), BIGINT_MAX)
+        digits = whole.lstrip("+-").lstrip("0")
+        # decided by the number of digits where there are too many: a text of any length is no poison
+        size = int(digits or "0") if len(digits) <= 19 else BIGINT_MAX + 1
+        return max(-size, BIGINT_MIN) if whole[0] == "-" else min(size, BIGINT_MAX)
     for value in (flag, None if number is None else float(number), items, members):
         if value is not None:
             return value
@@ -133,7 +136,7 @@ def _finish_one(text: str) -> str:
             raise _WrongType("attributes")
         members = dict(_plain_pair(p) for p in pairs or [])
         return json.dumps(members, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
-    except (_WrongType, OverflowError):
+    except Exception:  # whatever is wrong with one value refuses its payload and nothing else
         return WRONG
 
 

@@ -4,20 +4,21 @@ A value under a sensitive key is replaced whole, at any level. On the canonical
 text of a document (compact, with minimal escapes) a scalar under such a key is
 found by a regular expression, whatever its depth: one pass, in generated code.
 Only a document with a list or an object under a sensitive key, or with an
-escape in a key, is walked as a tree.
+escape in a key, is read token by token, to any depth.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import REDACTED, SENSITIVE_PATTERNS, is_sensitive
 
-DEFAULT_DEPTH = 8
 # An escape pair followed by the end of a key. A quote before a colon ends a key:
 # inside a text value it would be escaped.
 _ESCAPE_IN_KEY = r'\\.[^"\\]*":'
@@ -41,87 +42,81 @@ def _replace_members(text: Column, patterns: Sequence[str]) -> Column:
     return F.regexp_replace(text, member, f'$1"{REDACTED}"')
 
 
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_TEXT = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"')
+_TEXT_OR_BRACKET = re.compile(_TEXT.pattern + r"|[\[\]{}]")
+_WORD = re.compile(r"[^,\]}]*")
 
 
-def _walk(v: str, patterns: Sequence[str], depth: int, level: int = 0) -> str:
-    """SQL for the JSON text of variant ``v`` with sensitive members replaced.
+def _value_end(text: str, start: int) -> int:
+    """Where the value that starts at ``start`` of canonical JSON ends."""
+    if text[start] == '"':
+        return _TEXT.match(text, start).end()
+    if text[start] not in "{[":
+        return _WORD.match(text, start).end()
+    depth = 0
+    for token in _TEXT_OR_BRACKET.finditer(text, start):
+        depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(token[0], 0)
+        if depth == 0:
+            return token.end()
+    return len(text)
 
-    Objects and arrays are both seen as lists of members, arrays with NULL keys,
-    so each level adds one branch. A container below the last level is replaced
-    whole: redaction fails closed (``nesting_exceeds`` tells).
+
+def _redact_tokens(text: str, sensitive: re.Pattern) -> str:
+    """Replace the values under sensitive keys of canonical JSON text, at any depth, in one pass.
+
+    A text followed by a colon is a key.
     """
-    marker = _sql_text(f'"{REDACTED}"')
-    container = f"(schema_of_variant({v}) LIKE 'OBJECT%' OR schema_of_variant({v}) LIKE 'ARRAY%')"
-    if depth == 0:
-        return f"CASE WHEN {container} THEN {marker} ELSE to_json({v}) END"
-    e, x = f"e{level}", f"x{level}"
-    sensitive = f"coalesce(lower({e}.key) RLIKE {_sql_text(_any_of(patterns))}, false)"
-    members = (
-        f"coalesce(map_entries(try_variant_get({v}, '$', 'map<string,variant>')), "
-        f"transform(try_variant_get({v}, '$', 'array<variant>'), {x} -> struct(CAST(NULL AS STRING) AS key, {x} AS value)))")
-    member = (
-        f"concat(coalesce(concat(to_json(CAST({e}.key AS VARIANT)), ':'), ''), "
-        f"CASE WHEN {sensitive} THEN {marker} ELSE {_walk(e + '.value', patterns, depth - 1, level + 1)} END)")
-    is_object = f"schema_of_variant({v}) LIKE 'OBJECT%'"
-    return (
-        f"CASE WHEN {container} THEN concat(if({is_object}, '{{', '['), "
-        f"array_join(transform({members}, {e} -> {member}), ','), if({is_object}, '}}', ']')) ELSE to_json({v}) END")
-
-
-def with_redacted(df: DataFrame, columns: dict[str, str], patterns: Sequence[str] = SENSITIVE_PATTERNS,
-                  depth: int = DEFAULT_DEPTH) -> DataFrame:
+    out, kept, at = [], 0, 0
+    while (found := _TEXT.search(text, at)) is not None:
+        at = found.end()
+        if text[at:at + 1] != ":":
+            continue
+        key = json.loads(found[0]) if "\\" in found[0] else found[0][1:-1]
+        if sensitive.search(key.lower()):
+            out.append(text[kept:at + 1] + f'"{REDACTED}"')
+            kept = at = _value_end(text, at + 1)
+    return "".join(out) + text[kept:]
+
+
+def with_redacted(df: DataFrame, columns: dict[str, str], patterns: Sequence[str] = SENSITIVE_PATTERNS) -> DataFrame:
     """Add redacted JSON text of variant columns, ``{new name: variant column}``.
 
     NULL and JSON null give ``{}``. The steps are columns of their own, so that
     each is computed once.
     """
+    sensitive = re.compile(_any_of(patterns))
+
+    @F.pandas_udf("string")
+    def walked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _redact_tokens(t, sensitive))
+
     text = {n: F.col(f"_text_{n}") for n in columns}
     swapped = {n: F.col(f"_swapped_{n}") for n in columns}
     df = df.withColumns({f"_text_{n}": F.to_json(v) for n, v in columns.items()})
     df = df.withColumns({f"_swapped_{n}": F.when(
         is_sensitive(text[n], patterns), _replace_members(text[n], patterns)) for n in columns})
 
-    def choose(n: str, v: str) -> Column:
+    def needs_walk(n: str) -> Column:
         # The Kelvin sign is the one other letter that lower-cases to an ASCII one.
-        needs_walk = (
+        return swapped[n].isNotNull() & (
             swapped[n].contains(f'"{REDACTED}"{{') | swapped[n].contains(f'"{REDACTED}"[')
             | text[n].contains("\u212a") | (text[n].contains("\\") & text[n].rlike(_ESCAPE_IN_KEY)))
-        return (
-            F.when(text[n].isNull() | (text[n] == "null"), "{}").when(swapped[n].isNull(), text[n])
-            .when(needs_walk, F.expr(_walk(f"`{v}`", patterns, depth))).otherwise(swapped[n]))
 
-    return df.withColumns({n: choose(n, v) for n, v in columns.items()}) \
-        .drop(*[f"_text_{n}" for n in columns], *[f"_swapped_{n}" for n in columns])
+    # only the documents that need it cross over; the others are NULL there
+    df = df.withColumns({f"_walked_{n}": walked(F.when(needs_walk(n), text[n])) for n in columns})
 
+    def choose(n: str) -> Column:
+        return (F.when(text[n].isNull() | (text[n] == "null"), "{}").when(swapped[n].isNull(), text[n])
+                .otherwise(F.coalesce(F.col(f"_walked_{n}"), swapped[n])))
 
-def nesting_exceeds(name: str, depth: int) -> Column:
-    """True when a container of variant column ``name`` lies more than ``depth`` levels down."""
-    def walk(v: str, left: int, level: int) -> str:
-        members = (
-            f"coalesce(map_values(try_variant_get({v}, '$', 'map<string,variant>')), try_variant_get({v}, '$', 'array<variant>'))")
-        if left == 0:
-            return f"{members} IS NOT NULL"
-        e = f"m{level}"
-        return f"coalesce(exists({members}, {e} -> {walk(e, left - 1, level + 1)}), false)"
+    helpers = [f"_{kind}_{n}" for n in columns for kind in ("text", "swapped", "walked")]
+    return df.withColumns({n: choose(n) for n in columns}).drop(*helpers)
 
-    return F.expr(walk(f"`{name}`", depth, 0))
 
-
-def redact_json(df: DataFrame, cols: Sequence[str], patterns: Sequence[str] = SENSITIVE_PATTERNS,
-                depth: int = DEFAULT_DEPTH, observation: Observation | None = None) -> DataFrame:
-    """Redact JSON text columns of an event table.
-
-    Text that is not JSON is replaced whole. ``observation`` receives, per
-    column, how many rows were nested below ``depth``.
-    """
+def redact_json(df: DataFrame, cols: Sequence[str], patterns: Sequence[str] = SENSITIVE_PATTERNS) -> DataFrame:
+    """Redact JSON text columns of an event table. Text that is not JSON is replaced whole."""
     parsed = df.withColumns({f"_parsed_{c}": F.try_parse_json(F.col(c)) for c in cols})
-    if observation is not None:
-        parsed = parsed.observe(observation, *[
-            F.count_if(F.coalesce(nesting_exceeds(f"_parsed_{c}", depth), F.lit(False))).alias(f"{c}_too_deep") for c in cols])
-
-    done = with_redacted(parsed, {f"_done_{c}": f"_parsed_{c}" for c in cols}, patterns, depth)
+    done = with_redacted(parsed, {f"_done_{c}": f"_parsed_{c}" for c in cols}, patterns)
 
     def clean(c: str) -> Column:
         unreadable = F.col(c).isNotNull() & F.col(f"_parsed_{c}").isNull()

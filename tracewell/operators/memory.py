@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.search import newest_first
 
 KEY = ["agent_id", "key"]
 
@@ -47,4 +46,5 @@ def list_memory(memory: DataFrame, agent: str, tags: Sequence[str] | None = None
     found = visible(memory, agent)
     for tag in tags or ():
         found = found.where(F.array_contains("tags", tag))
-    return found if limit is None else newest_first(found, limit, ts="updated_at", tie="key")
+    # a key is unique only with its agent
+    return found if limit is None else found.orderBy(F.col("updated_at").desc(), "key", "agent_id").limit(limit)

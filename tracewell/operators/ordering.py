@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.expr import int_div
+from tracewell.functions.expr import BIGINT_MAX, int_div
 
 MICROS = 1_000_000
 
 
 def number_rows(df: DataFrame, group: Sequence[str], ts: str, tie: str, name: str, slice_seconds: int = 60) -> DataFrame:
-    """``row_number`` per group in ``(ts, tie)`` order, without gathering a group in one task.
+    """``row_number`` per group in ``(ts, tie)`` order, rows without a time last, without gathering a group in one task.
 
     A plain window would sort a whole group, however large, in a single task.
     Here each group is cut into time slices: rows are numbered inside a slice,
@@ -26,7 +26,8 @@ def number_rows(df: DataFrame, group: Sequence[str], ts: str, tie: str, name: st
     keyed = df.withColumns({
         **{n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(names, group)},
         "_nulls": F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in group]),
-        "_slice": time_slice(F.col(ts), slice_seconds * MICROS),
+        # rows without a time are a slice of their own, after all others
+        "_slice": F.coalesce(time_slice(F.col(ts), slice_seconds * MICROS), F.lit(BIGINT_MAX)),
     })
     owner = [*names, "_nulls"]
     keys = [*owner, "_slice"]

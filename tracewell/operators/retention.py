@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.sources.sinks import utc_date
+
 DEFAULT_DAYS = 90
 
 
@@ -15,4 +17,4 @@ def apply_retention(df: DataFrame, as_of: Column, days: int = DEFAULT_DAYS) -> D
     """
     cutoff = as_of - F.make_dt_interval(days=F.lit(days))
     kept = df.where(F.col("ts") >= cutoff)
-    return kept.where(F.col("event_date") >= F.to_date(cutoff)) if "event_date" in df.columns else kept
+    return kept.where(F.col("event_date") >= utc_date(cutoff)) if "event_date" in df.columns else kept

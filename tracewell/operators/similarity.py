@@ -1,7 +1,7 @@
 """Nearest vectors by cosine similarity: semantic search and recall.
 
-Scoring is a matrix product over Arrow batches; each task keeps its best ``k``
-per query, and only those are shuffled. Similarities are rounded to 9 digits, so
+Scoring is a matrix product of bounded blocks; each keeps its best ``k`` per
+query, and only those are shuffled. Similarities are rounded to 9 digits, so
 that ties do not depend on the order of summation; ties go to the smaller id.
 Zero vectors and vectors of another length than the query's have no similarity
 and are never found.
@@ -10,7 +10,7 @@ and are never found.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.memory import visible
 
-MAX_SHIPPED_QUERIES = 2048
-QUERY_BLOCK = 1024
-CANDIDATE_CHUNK = 50_000
+QUERY_BLOCK, CANDIDATE_CHUNK = 512, 8192
 DIGITS = 9
-_RESULT = "query_id string, id string, similarity double"
+_RESULT = "_query long, query_id string, id string, similarity double"
 
 
 def _unit_rows(vectors: Iterable) -> np.ndarray:
@@ -33,87 +31,58 @@ def _unit_rows(vectors: Iterable) -> np.ndarray:
         return np.where(norms > 0, matrix / norms, np.nan)
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, units: np.ndarray, k: int, skip_self: bool) -> pd.DataFrame:
-    """The ``k`` best of some candidates for each query."""
-    scores = np.round(units @ queries.T, DIGITS)
-    parts = []
-    for q, query_id in enumerate(query_ids):
-        column = scores[:, q]
-        usable = np.flatnonzero(~np.isnan(column) & (ids != query_id if skip_self else True))
-        if len(usable) > k:
-            kth = np.partition(-column[usable], k - 1)[k - 1]
-            usable = usable[-column[usable] <= kth]
-        order = usable[np.lexsort((ids[usable], -column[usable]))][:k]
-        parts.append(pd.DataFrame({"query_id": query_id, "id": ids[order], "similarity": column[order]}))
-    return pd.concat(parts, ignore_index=True)
-
-
-def _merge(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = found.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
-    return ordered.groupby("query_id", sort=False).head(k)
-
-
-def _scan(candidates: DataFrame, query_ids: list[str], vectors: list, k: int, skip_self: bool) -> DataFrame:
-    names, queries = np.asarray(query_ids, dtype=object), _unit_rows(vectors)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            if len(batch):
-                found = _best(names, queries, batch["id"].to_numpy(dtype=object), _unit_rows(batch["vector"]), k, skip_self)
-                best = found if best is None else _merge(pd.concat([best, found]), k)
-        if best is not None:
-            yield best
-
-    return candidates.mapInPandas(score, _RESULT)
-
+def _best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, skip_self: bool) -> pd.DataFrame:
+    """The ``k`` best candidates of each query, ties by id: one selection over the whole matrix, then few rows to sort."""
+    ids = candidates["id"].to_numpy(dtype=object)
+    names = queries["query_id"].to_numpy(dtype=object)
+    scores = np.round(_unit_rows(queries["vector"]) @ _unit_rows(candidates["vector"]).T, DIGITS)
+    scores[np.isnan(scores)] = -np.inf
+    if skip_self:
+        scores[names[:, None] == ids[None, :]] = -np.inf
+    least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(names), -np.inf)
+    q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    by_id = np.empty(len(ids), dtype="int64")
+    by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((by_id[c], -scores[q, c], q))
+    order = order[np.arange(len(order)) - np.searchsorted(q, q) < k]  # q is sorted, before and after
+    q, c = q[order], c[order]
+    return pd.DataFrame({"_query": queries["_query"].to_numpy()[q], "query_id": pd.Series(names[q], dtype=object),
+                         "id": pd.Series(ids[c], dtype=object), "similarity": scores[q, c]})
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """``query_id, id, similarity, rank`` of the ``k`` best candidates per query.
 
-def _block_join(candidates: DataFrame, queries: DataFrame, n_queries: int, k: int, skip_self: bool) -> DataFrame:
-    """Blocks of queries against chunks of candidates, both of bounded size."""
-    blocks = math.ceil(n_queries / QUERY_BLOCK)
-    chunks = math.ceil(candidates.count() / CANDIDATE_CHUNK) or 1
+    ``queries`` has ``query_id, vector``, ``candidates`` has ``id, vector``.
+    Blocks of queries meet chunks of candidates of the same length; both are
+    of bounded size, whatever the tables are, and each meeting keeps its best
+    ``k`` before they are shuffled. A NULL vector finds nothing and is found by
+    nothing. Queries that share an id but not the vector are ranked apart;
+    repeated ones count once. Candidates that tie with the ``k``-th come by id.
+    """
+    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where("vector IS NOT NULL") \
+        .withColumn("_query", F.xxhash64("query_id", "vector")).dropDuplicates(["_query"])
+    candidates = candidates.select(F.col("id").cast("string").alias("id"), "vector").where("vector IS NOT NULL")
+    blocks, chunks = (math.ceil(df.count() / size) or 1 for df, size in ((queries, QUERY_BLOCK), (candidates, CANDIDATE_CHUNK)))
 
-    def part(col: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    def part(key: Column, n: int) -> Column:
+        return F.pmod(key, F.lit(n)).cast("int")
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = candidates.select("*", part("id", chunks).alias("chunk"), every(blocks).alias("block"))
-    right = queries.select("*", part("query_id", blocks).alias("block"), every(chunks).alias("chunk"))
+    left = candidates.select("*", F.size("vector").alias("dims"), part(F.xxhash64("id"), chunks).alias("chunk"), every(blocks).alias("block"))
+    right = queries.select("*", F.size("vector").alias("dims"), part(F.xxhash64("_query"), blocks).alias("block"), every(chunks).alias("chunk"))
 
     def score(cands: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if cands.empty or qs.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        return _best(qs["query_id"].to_numpy(dtype=object), _unit_rows(qs["vector"]),
-                     cands["id"].to_numpy(dtype=object), _unit_rows(cands["vector"]), k, skip_self)
-
-    return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(score, _RESULT)
-
+            return pd.DataFrame({"_query": [], "query_id": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "similarity": []})
+        return _best(qs, cands, k, skip_self)
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool = False,
-            max_shipped: int = MAX_SHIPPED_QUERIES) -> DataFrame:
-    """``query_id, id, similarity, rank`` of the ``k`` best candidates per query.
-
-    ``queries`` has ``query_id, vector``, ``candidates`` has ``id, vector``.
-    Up to ``max_shipped`` queries travel with the tasks and the candidates are
-    scanned in place. More are joined block by block, without the driver.
-    """
-    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
-    candidates = candidates.select(F.col("id").cast("string").alias("id"), "vector").where(F.col("vector").isNotNull())
-    sample = queries.limit(max_shipped + 1).collect()
-    if not sample:
-        return candidates.sparkSession.createDataFrame([], _RESULT + ", rank int")
-    dims = len(sample[0]["vector"])
-    candidates = candidates.where(F.size("vector") == dims)
-    if len(sample) <= max_shipped:
-        usable = [r for r in sample if len(r["vector"]) == dims]
-        found = _scan(candidates, [r["query_id"] for r in usable], [r["vector"] for r in usable], k, skip_self)
-    else:
-        same = queries.where(F.size("vector") == dims)
-        found = _block_join(candidates, same, same.count(), k, skip_self)
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    keys = ["dims", "chunk", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, _RESULT)
+    order = Window.partitionBy("_query").orderBy(F.col("similarity").desc(), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_query")
 
 
 def memory_id() -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,15 +17,20 @@ def words(text: Column) -> Column:
 
 
 def _wanted(query: str | Sequence[str]) -> list[str]:
-    terms = query.split() if isinstance(query, str) else query
-    return sorted({t.lower() for t in terms})
+    """The words of a query, cut as texts are; none for a query without letters and digits."""
+    terms = [query] if isinstance(query, str) else query
+    return sorted({word for t in terms for word in re.findall(r"[^\W_]+", t.lower())})
 
 
 def text_search(docs: DataFrame, id_col: str, text_col: str, query: str | Sequence[str]) -> DataFrame:
-    """Ids of the texts that hold every word of the query, with the number of hits."""
-    wanted = F.array(*[F.lit(w) for w in _wanted(query)])
+    """Ids of the texts that hold every word of the query, with the number of hits.
+
+    A query without a word finds nothing, here as in the index.
+    """
+    wanted = F.array(*[F.lit(w) for w in _wanted(query)]).cast("array<string>")
     scanned = docs.select(id_col, F.filter(words(F.col(text_col)), lambda w: F.array_contains(wanted, w)).alias("_hits"))
-    return scanned.where(F.size(F.array_distinct("_hits")) == F.size(wanted)).select(id_col, F.size("_hits").cast("bigint").alias("hits"))
+    return scanned.where(
+        (F.size("_hits") > 0) & (F.size(F.array_distinct("_hits")) == F.size(wanted))).select(id_col, F.size("_hits").cast("bigint").alias("hits"))
 
 
 def build_text_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,12 +54,12 @@ def write_text_index(index: DataFrame, path: str) -> None:
 
 
 def search_text_index(index: DataFrame, id_col: str, query: str | Sequence[str]) -> DataFrame:
-    """As ``text_search``, from the index."""
+    """As ``text_search``, from the index. Rows stored more than once, by a repeated or resumed write, count once."""
     wanted = _wanted(query)
     # The buckets are constant expressions, so that the scan prunes partitions.
     in_bucket = F.lit(False)
     for w in wanted:
         in_bucket = in_bucket | (F.col("bucket") == bucket_of(F.lit(w)))
-    found = index.where(in_bucket & F.col("word").isin(wanted))
+    found = index.where(in_bucket & F.col("word").isin(wanted)).groupBy(id_col, "word").agg(F.max("hits").alias("hits"))
     return found.groupBy(id_col).agg(F.count(F.lit(1)).alias("_words"), F.sum("hits").alias("hits")) \
         .where(F.col("_words") == len(wanted)).select(id_col, "hits")

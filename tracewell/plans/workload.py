@@ -33,8 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) ->
 
 def spread(df: DataFrame) -> DataFrame:
     """The sample tables are single files; costly work per row is spread over the cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def as_of() -> Column:

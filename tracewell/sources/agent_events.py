@@ -9,7 +9,7 @@ from tracewell.functions.expr import let
 from tracewell.functions.scalars import is_valid_agent_id, null_if_empty
 from tracewell.sources.payloads import MALFORMED, Decoded, parse_wrapped
 
-INVALID_AGENT = "invalid_agent_id"
+INVALID_AGENT, INVALID_TIME = "invalid_agent_id", "invalid_timestamp"
 _EVENT = (
     "agent_id string, session_token string, timestamp string, event_type string, severity string, "
     "tool_name string, tool_type string, mcp_server string, message string, params variant, result variant, "
@@ -22,7 +22,8 @@ def read_agent_events(payloads: DataFrame) -> Decoded:
     """Decode ``payload_id, body, captured_at`` rows; a payload is taken whole or not at all.
 
     An event without a timestamp takes the capture time, one without a severity
-    is ``info``. Every agent id must be valid.
+    is ``info``. Every agent id must be valid and every given timestamp
+    readable. Empty trace, span and spawning ids are NULL.
     """
     body = F.col("body")
     is_list = F.ltrim(body).startswith("[")
@@ -34,7 +35,8 @@ def read_agent_events(payloads: DataFrame) -> Decoded:
         (F.length(body) > 0) & ~is_list & (F.coalesce(F.size("parsed.r"), F.lit(0)) != 1))
     reason = F.coalesce(
         F.when(broken, MALFORMED),
-        F.when(F.exists(events, lambda e: ~is_valid_agent_id(e["agent_id"])), INVALID_AGENT))
+        F.when(F.exists(events, lambda e: ~is_valid_agent_id(e["agent_id"])), INVALID_AGENT),
+        F.when(F.exists(events, lambda e: null_if_empty(e["timestamp"]).isNotNull() & e["timestamp"].try_cast("timestamp").isNull()), INVALID_TIME))
     decoded = parsed.select("payload_id", "body", "captured_at", F.struct(
         reason.alias("reason"), F.coalesce(events, F.slice("parsed.r", 1, 0)).alias("events")).alias("d"))
     rows = let(F.col("d"), lambda d: F.when(d["reason"].isNull(), d["events"]))
@@ -48,7 +50,8 @@ def read_agent_events(payloads: DataFrame) -> Decoded:
         F.coalesce(null_if_empty(e["severity"]), F.lit("info")).alias("severity"),
         *[e[c].alias(c) for c in ("tool_name", "tool_type", "mcp_server", "message")],
         *[F.to_json(e[c]).alias(c) for c in ("params", "result", "context")],
-        *[e[c].alias(c) for c in ("duration_ms", "tags", "trace_id", "span_id", "parent_span_id", "spawned_by")],
+        *[e[c].alias(c) for c in ("duration_ms", "tags")],
+        *[null_if_empty(e[c]).alias(c) for c in ("trace_id", "span_id", "parent_span_id", "spawned_by")],
         F.col("captured_at").alias("created_at"),
     )
     refused = decoded.where(F.col("d.reason").isNotNull()).select(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
+def utc_date(ts: Column) -> Column:
+    """The UTC day of a time, whatever the session's zone: writers and readers must agree on partitions."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
 def count_rows(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Count the rows that pass, as a by-product of the action that reads them."""
     seen = Observation(name)
@@ -18,7 +23,7 @@ def append_events(df: DataFrame, path: str) -> int:
     The rebalance hint lets adaptive execution split a heavy day over several
     files and join light days into one, instead of one file per task and day.
     """
-    dated = df.withColumn("event_date", F.to_date("ts")).hint("rebalance", "event_date")
+    dated = df.withColumn("event_date", utc_date(F.col("ts"))).hint("rebalance", "event_date")
     counted, seen = count_rows(dated, "append_events")
     counted.write.partitionBy("event_date").mode("append").parquet(path)
     return int(seen.get["rows"])

@@ -21,9 +21,10 @@ def stream_sessions(events: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT, wat
     """Sessions of an event stream, each emitted once, when the watermark closes it.
 
     The same ids as the batch operator gives. Sessions still open stay in state.
+    For agents with a large share of the events set the session's
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``,
+    so that they send one row per task; an operator does not change settings.
     """
-    # An agent with a large share of the events sends one row per task, not all of them.
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     us = F.unix_micros("ts")
     windows = events.select("event_id", *OWNER, "ts").withWatermark("ts", watermark) \
         .groupBy(*OWNER, F.session_window("ts", _interval(timeout))) \
@@ -63,7 +64,7 @@ def on_session_close(stored_events: Callable[[], DataFrame], sessions_path: str,
         try:
             summarize(_events_of(stored_events(), stored)).write.mode("overwrite").parquet(f"{summaries_path}/{folder}")
         except Exception as error:  # a summary failure must never block the close
-            stored.select("session_id", F.lit(str(error)[:500]).alias("error")).write.mode("overwrite").parquet(f"{retry_path}/{folder}")
+            stored.select("session_id", F.lit(str(error)).alias("error")).write.mode("overwrite").parquet(f"{retry_path}/{folder}")
 
     return handle
 
