@@ -1,6 +1,7 @@
 """Streams against their batch twins."""
 
 import json
+import os
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tracewell.operators.summaries import session_summary
 from tracewell.plans import workload as w
 from tracewell.sources.otlp import read_otlp_traces
 from tracewell.streaming.correlate import start_agent_counters, stream_correlate
-from tracewell.streaming.ingest import payload_stream, stream_otlp
+from tracewell.streaming.ingest import payload_stream, stream_otlp, stream_otlp_rejects
 from tracewell.streaming.sessions import on_session_close, start_session_closer, stream_sessions
 
 NOW = {"availableNow": True}
@@ -32,11 +33,40 @@ def test_otlp_over_several_runs(spark, sf_dir, tmp_path):
     assert spark.read.parquet(sink).count() == 2 * batch.count()
 
 
-def test_repeated_payload_is_dropped(spark, tmp_path):
-    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    body = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"name": "a"}]}]}]})
-    spark.createDataFrame([(body,)] * 5, "value string").coalesce(1).write.text(source)
-    stream_otlp(payload_stream(spark, source), "trace", sink, checkpoint, **NOW).awaitTermination()
+BODY = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"name": "a"}]}]}]})
+
+
+def test_repeated_payloads_are_kept_unless_a_window_is_given(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(BODY,)] * 5, "value string").coalesce(1).write.text(source)
+    for window, rows in ((None, 5), ("1 hour", 1)):
+        sink, checkpoint = (str(tmp_path / f"{n}-{rows}") for n in ("out", "ck"))
+        stream_otlp(payload_stream(spark, source), "trace", sink, checkpoint, window, **NOW).awaitTermination()
+        assert spark.read.parquet(sink).count() == rows
+
+
+def test_an_old_file_is_ingested_and_refused_payloads_are_kept(spark, tmp_path):
+    source, sink, refused, ck = (str(tmp_path / n) for n in ("in", "out", "refused", "ck"))
+    os.mkdir(source)
+    for i, age in enumerate((0, 30_000, 90_000)):  # every file is older than the one before it
+        path = f"{source}/{i}.txt"
+        with open(path, "w") as file:
+            file.write(BODY + "\n" + '{"resourceSpans": \n')
+        os.utime(path, (1_700_000_000 - age,) * 2)
+        stream_otlp(payload_stream(spark, source), "trace", sink, f"{ck}-a", **NOW).awaitTermination()
+        stream_otlp_rejects(payload_stream(spark, source), "trace", refused, f"{ck}-b", **NOW).awaitTermination()
+    assert spark.read.parquet(sink).count() == 3
+    assert [r.reason for r in spark.read.parquet(refused).collect()] == ["malformed"] * 3
+
+
+def test_events_can_go_to_a_function(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(BODY,)], "value string").write.text(source)
+
+    def put(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    stream_otlp(payload_stream(spark, source), "trace", put, str(tmp_path / "ck"), **NOW).awaitTermination()
     assert spark.read.parquet(sink).count() == 1
 
 

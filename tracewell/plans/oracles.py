@@ -280,6 +280,10 @@ ORACLES = {
     "embed_texts": _EMBED,
     "retention_10d": f"WITH {_EVENTS} SELECT event_id, us AS ts_us FROM agent_events WHERE us >= {_AS_OF_US} - 864000000000",
     "stream_otlp_traces": f"{_SPANS} SELECT {_SPAN_COLUMNS} FROM spans",
+    "stream_otlp_logs": f"""SELECT * EXCLUDE (event_id) REPLACE (
+        CASE WHEN json_extract_string(attributes, '$.status') <> 'P' THEN ts_us END AS ts_us) FROM ({_LOGS})""",
+    "stream_otlp_rejects_by_reason": """WITH t AS (SELECT max(value) AS m FROM events GROUP BY event_id // 50)
+        SELECT CASE WHEN m > 340 THEN 'malformed' ELSE 'wrong_type' END AS reason, count(*) AS payloads FROM t WHERE m > 320 GROUP BY 1""",
     "stream_closed_sessions": f"""{_S12} SELECT session_id, agent_id, session_token, started_at_us, last_event_at_us,
         last_event_at_us + {_12H} AS ended_at_us, event_count FROM sessions WHERE {_CLOSED}""",
     "stream_close_summaries": f"{_S12}, sums AS ({_SUMMARY}) SELECT sums.* FROM sums JOIN sessions USING (session_id) WHERE {_CLOSED}",

@@ -37,7 +37,7 @@ from tracewell.sources.hooks import read_hook_events
 from tracewell.sources.otlp import read_otlp_logs, read_otlp_traces
 from tracewell.sources.sinks import append_events
 from tracewell.streaming.correlate import start_agent_counters, start_correlator
-from tracewell.streaming.ingest import payload_stream, stream_embed, stream_otlp
+from tracewell.streaming.ingest import payload_stream, stream_embed, stream_otlp, stream_otlp_rejects
 from tracewell.streaming.sessions import on_session_close, start_session_closer, stream_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -502,6 +502,25 @@ def stream_otlp_traces(spark, sf):
     return _system_rows(spark.read.parquet(sink)).drop("event_id")
 
 
+@query
+def stream_otlp_logs(spark, sf):
+    """The log payloads the same way. Records without a time take that of their file, which is left out."""
+    source, sink, checkpoint = _stream_dirs(spark, "payloads", "events")
+    w.log_payloads(spark, sf).select(F.col("body").alias("value")).write.text(source)
+    stream_otlp(payload_stream(spark, source), "log", sink, checkpoint, **NOW).awaitTermination()
+    timed = F.get_json_object("attributes", "$.status") != "P"
+    return _system_rows(spark.read.parquet(sink)).drop("event_id").withColumn("ts_us", F.when(timed, F.col("ts_us")))
+
+
+@query
+def stream_otlp_rejects_by_reason(spark, sf):
+    """The refused trace payloads of a stream, counted by reason."""
+    source, sink, checkpoint = _stream_dirs(spark, "payloads", "rejects")
+    w.trace_payloads(spark, sf).select(F.col("body").alias("value")).write.text(source)
+    stream_otlp_rejects(payload_stream(spark, source), "trace", sink, checkpoint, **NOW).awaitTermination()
+    return spark.read.parquet(sink).groupBy("reason").agg(F.count(F.lit(1)).alias("payloads"))
+
+
 @query
 def stream_closed_sessions(spark, sf):
     """Sessions that the stream has closed: all but those near its end."""
