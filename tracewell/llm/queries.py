@@ -15,6 +15,7 @@ from tracewell.llm.column_suffixes import suffix_dedup
 from tracewell.llm.cover_tree import near_vectors
 from tracewell.llm.extendible_dedup import exact_dedup
 from tracewell.llm.factorisation import is_held_out, score, train
+from tracewell.llm.fill_middle import fill_in_middle, restored
 from tracewell.llm.gray_simhash import fingerprints, simhash_dedup
 from tracewell.llm.jump_shards import shard
 from tracewell.llm.line_chunks import line_dedup
@@ -188,3 +189,36 @@ SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) F
        sha256(coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (stays), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@query
+def op11_fill_middle(spark, sf):
+    """Fill-in-middle output of every whole text and the text rebuilt from it, as digests."""
+    made = fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+ORACLES["op11_fill_middle"] = """
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest
+  FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, list_transform(range(4), lambda i: ('0x' || substr(digest, 8 * i + 1, 8))::BIGINT) AS h FROM units),
+cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+              WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+pieces AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle,
+         array_to_string(u[b + 1:n], '') AS suffix
+  FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM pieces
+"""
