@@ -21,6 +21,7 @@ from tracewell.llm.jump_shards import shard
 from tracewell.llm.line_chunks import line_dedup
 from tracewell.llm.order_packing import pack
 from tracewell.llm.prefix_bpe import decoder, encode
+from tracewell.llm.spelling_blocks import spelling_groups
 from tracewell.llm.zip_warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,3 +223,52 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
        sha256(prefix || middle || suffix) AS restored_sha256
 FROM pieces
 """
+
+
+@query
+def op12_spelling_blocks(spark, sf):
+    """Frequent words, their most frequent near word and the root of their forms."""
+    return spelling_groups(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op12_spelling_blocks"] = """
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) AS run
+  FROM documents),
+coded AS (SELECT run, hex(encode(id || ':' || run)) AS code FROM runs),
+bits AS (
+  SELECT run, list_transform(range(4 * length(code)), lambda k:
+           ((('0x' || substr(code, 2 * (k // 8) + 1, 2))::BIGINT >> (k % 8)::BIGINT) & 1)) AS bits
+  FROM coded),
+hashed AS (
+  SELECT run, xor(list_reduce(list_concat([4294967295::BIGINT], bits), lambda c, b:
+           CASE WHEN (c & 1) = b THEN c >> 1 ELSE xor(c >> 1, 3988292384) END), 4294967295) AS h
+  FROM bits),
+damaged AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word
+  FROM hashed),
+words AS (SELECT word, count(*) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+shorter AS (
+  SELECT DISTINCT word, substr(word, 1, k - 1) || substr(word, k + 1) AS cut
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)),
+replaced AS (
+  SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words),
+holed AS (SELECT word, k, substr(word, 1, k - 1) || '.' || substr(word, k + 1) AS hole FROM replaced),
+near AS (
+  SELECT s.word AS a, w.word AS b FROM shorter s JOIN words w ON w.word = s.cut
+  UNION ALL SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.cut
+  UNION ALL SELECT x.word, y.word FROM holed x JOIN holed y ON x.hole = y.hole AND x.word <> y.word),
+ranked AS (
+  SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b COLLATE "C") AS r
+  FROM near JOIN words ON word = b),
+judged AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN r.b END AS form,
+         CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.a = w.word AND r.r = 1),
+walk AS (
+  SELECT word, word AS at, form AS next FROM judged
+  UNION ALL SELECT w.word, j.word, j.form FROM walk w JOIN judged j ON j.word = w.next)
+SELECT j.word, j.form, w.at AS root, j.n, j.n_near, j.form_n FROM judged j JOIN walk w ON w.word = j.word AND w.next IS NULL
+"""
