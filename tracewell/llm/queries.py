@@ -21,6 +21,7 @@ from tracewell.llm.jump_shards import shard
 from tracewell.llm.line_chunks import line_dedup
 from tracewell.llm.order_packing import pack
 from tracewell.llm.prefix_bpe import decoder, encode
+from tracewell.llm.site_style import main_text
 from tracewell.llm.spelling_blocks import spelling_groups
 from tracewell.llm.zip_warc import read_archives, write_archives
 
@@ -272,3 +273,22 @@ walk AS (
   UNION ALL SELECT w.word, j.word, j.form FROM walk w JOIN judged j ON j.word = w.next)
 SELECT j.word, j.form, w.at AS root, j.n, j.n_near, j.form_n FROM judged j JOIN walk w ON w.word = j.word AND w.next IS NULL
 """
+
+
+@query
+def op13_site_style(spark, sf):
+    """Main text of every page."""
+    return main_text(table(spark, sf, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+ORACLES["op13_site_style"] = r"""
+WITH articles AS (
+  SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '') AS article FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(article, '</?(?:p|h1|br)>'), lambda b:
+           trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]+>', '', 'g'),
+             '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks
+  FROM articles),
+texts AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""

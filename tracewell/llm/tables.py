@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tracewell.operators.checkpoints import work_dir
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from its files."""
     path = work_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
