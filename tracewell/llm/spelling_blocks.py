@@ -19,7 +19,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words and bytes of a block; a block is one side of a matrix product.
 BLOCK_WORDS, BLOCK_BYTES = 512, 1 << 16
 #: Columns of the count matrices; letters that share one only make the bound weaker.
-DIMENSIONS = 64
+DIMENSIONS = 32
+#: Near pairs that a task gathers before it sums them up.
+HELD_PAIRS = 2_000_000
 #: One in so many occurrences loses a letter.
 DAMAGE = 31
 
@@ -49,83 +51,83 @@ def _letter_counts(words: np.ndarray) -> np.ndarray:
 def near_in_blocks(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``left`` and ``right`` (Latin-1 bytes, ``right`` as long or one longer) at one edit.
 
-    The product of the two count matrices gives all squared distances of
-    counts; one edit changes them by 2 at most. Pairs beyond that are left
-    out, the others are compared letter by letter.
+    The product of the two count matrices, with a column each for the lengths
+    of the vectors, gives all squared distances of counts; one edit changes
+    them by 2 at most. Pairs beyond that are left out, the others are compared
+    letter by letter.
     """
     a, b = _letter_counts(left), _letter_counts(right)
     exact = np.float32 if max(left.shape[1], right.shape[1]) < 2000 else np.float64
-    x, y = a.astype(exact), b.astype(exact)
-    reach = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-    i, j = np.nonzero(reach <= 2)
-    if same:
-        i, j = i[i < j], j[i < j]
+    ones_a, ones_b = np.ones((len(a), 1), exact), np.ones((len(b), 1), exact)
+    x = np.hstack([-2 * a.astype(exact), (a * a).sum(axis=1)[:, None].astype(exact), ones_a])
+    y = np.hstack([b.astype(exact), ones_b, (b * b).sum(axis=1)[:, None].astype(exact)]).T
     found = []
-    for at in range(0, len(i), 1 << 16):
-        p, q = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-        u, v = left[p], right[q]
-        if u.shape[1] == v.shape[1]:
-            near = (u != v).sum(axis=1) == 1
-        else:
-            begins = np.cumprod(u == v[:, :-1], axis=1, dtype="u1").sum(axis=1, dtype="i8")
-            ends = np.cumprod((u == v[:, 1:])[:, ::-1], axis=1, dtype="u1").sum(axis=1, dtype="i8")
-            near = begins + ends >= u.shape[1]
-        found.append((p[near], q[near]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (i, j)
-
-
-def _best(words: list[str], hits: np.ndarray, others: list[str], counts: np.ndarray, partner: np.ndarray) -> pd.DataFrame:
-    """For every word with hits: how many, and the other word of largest count, then first in code-point order."""
-    order = np.lexsort((np.array(others)[partner], -counts[partner], hits))
-    each, first, many = np.unique(hits[order], return_index=True, return_counts=True)
-    best = partner[order][first]
-    return pd.DataFrame({"word": [words[k] for k in each.tolist()], "n_near": many, "form_n": counts[best],
-                         "form": [others[k] for k in best.tolist()]})
+    for at in range(0, len(x), BLOCK_WORDS):
+        i, j = np.divmod(np.flatnonzero(x[at:at + BLOCK_WORDS] @ y <= 2), len(right))
+        i += at
+        if same:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
+            u, v = left[p], right[q]
+            if u.shape[1] == v.shape[1]:
+                near = (u != v).sum(axis=1) == 1
+            else:
+                begins = np.cumprod(u == v[:, :-1], axis=1, dtype="u1").sum(axis=1, dtype="i8")
+                ends = np.cumprod((u == v[:, 1:])[:, ::-1], axis=1, dtype="u1").sum(axis=1, dtype="i8")
+                near = begins + ends >= u.shape[1]
+            found.append((p[near], q[near]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "i8"), np.zeros(0, "i8"))
+
+
+def _partners(hits: np.ndarray, partners: np.ndarray) -> pd.DataFrame:
+    """For every place in ``hits``: how often it is there, and its first partner."""
+    order = np.lexsort((partners, hits))
+    place, first, many = np.unique(hits[order], return_index=True, return_counts=True)
+    return pd.DataFrame({"place": place, "n_near": many, "best": partners[order[first]]})
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
-    """One row (word, n_near, form, form_n) per word with a word at one edit; ``form`` is the most frequent of those.
+    """One row (place, n_near, best) per word with a word at one edit; ``vocabulary`` has columns place, word and n.
 
-    Words are put into blocks of equal length and equal counts of the
+    place is a distinct number of each word; best is the least of the words
+    near. Words are put into blocks of equal length and equal counts of the
     commonest letters; the number of letters grows with the logarithm of the
     vocabulary. One edit adds, takes or exchanges one letter, so a block meets
     only itself, blocks that are one letter longer, and blocks of its length
     with one letter exchanged: an equi-join on the counts. The vocabulary is
     range-partitioned and sorted, and cut into blocks of at most
-    ``BLOCK_WORDS``, so that one key may hold any number of words. Each
-    meeting gives one row per word that has a near word there.
+    ``BLOCK_WORDS``, so that one key may hold any number of words. A task
+    gives one row per word for what it has found near it.
     """
-    spark = vocabulary.sparkSession
     letters = (vocabulary.select(F.explode(F.split("word", "")).alias("c")).groupBy("c").count()
                .orderBy(F.desc("count"), "c").select("c"))
     depth = max(4, math.ceil(math.log2(max(2, vocabulary.count()))) - 14)
     common = [r.c for r in letters.take(depth)]  # at most one row per letter of the alphabet
     counts = [F.length("word") - F.length(F.translate("word", c, "")) for c in common]
-    keyed = vocabulary.select("word", "n", F.array(F.length("word") - sum(counts, F.lit(0)), *counts).alias("key"))
+    keyed = vocabulary.select("word", "place", F.array(F.length("word") - sum(counts, F.lit(0)), *counts).alias("key"))
     ranged = keyed.repartitionByRange("key", "word").sortWithinPartitions("key", "word")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, words, numbers = None, [], []
+        held, words, places = None, [], []
 
-        def block() -> pd.DataFrame:
-            return pd.DataFrame({"key": [list(held)], "block": [words[0]], "length": [len(words[0])],
-                                 "words": ["".join(words).encode("latin-1")], "n": [np.array(numbers, "<i8").tobytes()]})
+        def block() -> tuple:
+            return list(held), places[0], len(words[0]), "".join(words).encode("latin-1"), np.array(places, "<i8").tobytes()
 
         for batch in batches:
             out = []
-            for key, word, n in zip(map(tuple, batch["key"]), batch["word"], batch["n"].tolist()):
+            for key, word, place in zip(map(tuple, batch["key"]), batch["word"], batch["place"].tolist()):
                 if words and (key != held or len(words) >= min(BLOCK_WORDS, max(1, BLOCK_BYTES // len(word)))):
                     out.append(block())
-                    words, numbers = [], []
+                    words, places = [], []
                 held = key
                 words.append(word)
-                numbers.append(n)
-            if out:
-                yield pd.concat(out)
+                places.append(place)
+            yield pd.DataFrame(out, columns=["key", "block", "length", "words", "places"])
         if words:
-            yield block()
+            yield pd.DataFrame([block()], columns=["key", "block", "length", "words", "places"])
 
-    blocks = stored(ranged.mapInPandas(cut, "key array<int>, block string, length int, words binary, n binary"))
+    blocks = stored(ranged.mapInPandas(cut, "key array<int>, block long, length int, words binary, places binary"))
     size = len(common) + 1
 
     def moved(changes: dict[int, int]) -> Column:
@@ -133,27 +135,38 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
 
     meets = [moved({}), *[moved({i: 1}) for i in range(size)], *[moved({i: 1, j: -1}) for i, j in combinations(range(size), 2)]]
     left = blocks.select(F.explode(F.filter(F.array(*meets), lambda k: F.array_min(k) >= 0)).alias("meet"), "key",
-                         *[F.col(c).alias(f"{c}_a") for c in ("block", "length", "words", "n")])
-    right = blocks.select(F.col("key").alias("meet"), "block", "length", "words", "n")
+                         *[F.col(c).alias(f"{c}_a") for c in ("block", "length", "words", "places")])
+    right = blocks.select(F.col("key").alias("meet"), "block", "length", "words", "places")
     pairs = left.join(right.hint("merge"), "meet").where((F.col("key") != F.col("meet")) | (F.col("block_a") <= F.col("block")))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits, partners, held = [], [], 0
         for batch in batches:
-            for block_a, length_a, words_a, n_a, block, length, words, n in batch.itertuples(index=False):
-                left, right = np.frombuffer(words_a, "u1").reshape(-1, length_a), np.frombuffer(words, "u1").reshape(-1, length)
-                i, j = near_in_blocks(left, right, block_a == block)
+            # a block meets all others of a length at once
+            sides: dict[tuple, list[int]] = {}
+            for at, (a, length, b) in enumerate(zip(batch["block_a"].tolist(), batch["length_a"].tolist(), batch["block"].tolist())):
+                sides.setdefault((b, length, a == b), []).append(at)
+            lengths, words, words_a = batch["length"].tolist(), batch["words"].tolist(), batch["words_a"].tolist()
+            places, places_a = batch["places"].tolist(), batch["places_a"].tolist()
+            for (_, length, itself), rows in sides.items():
+                left = np.frombuffer(b"".join([words_a[r] for r in rows]), "u1").reshape(-1, length)
+                right = np.frombuffer(words[rows[0]], "u1").reshape(-1, lengths[rows[0]])
+                i, j = near_in_blocks(left, right, itself)
                 if len(i):
-                    names_a, names = ([x.tobytes().decode("latin-1") for x in side] for side in (left, right))
-                    many_a, many = np.frombuffer(n_a, "<i8"), np.frombuffer(n, "<i8")
-                    yield _best(names_a, i, names, many, j)
-                    yield _best(names, j, names_a, many_a, i)
-
-    found = pairs.select("block_a", "length_a", "words_a", "n_a", "block", "length", "words", "n").mapInPandas(
-        meet, "word string, n_near long, form_n long, form string")
-    # the largest count comes first; of equal counts the first word
-    best = F.min(F.struct((-F.col("form_n")).alias("less"), F.col("form").alias("form")))
-    total = stored(found).groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
-    return total.select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
+                    x = np.frombuffer(b"".join([places_a[r] for r in rows]), "<i8")[i]
+                    y = np.frombuffer(places[rows[0]], "<i8")[j]
+                    hits += [x, y]
+                    partners += [y, x]
+                    held += 2 * len(x)
+                    if held >= HELD_PAIRS:
+                        yield _partners(np.concatenate(hits), np.concatenate(partners))
+                        hits, partners, held = [], [], 0
+        if held:
+            yield _partners(np.concatenate(hits), np.concatenate(partners))
+
+    found = pairs.select("block_a", "length_a", "words_a", "places_a", "block", "length", "words", "places").mapInPandas(
+        meet, "place long, n_near long, best long")
+    return stored(found).groupBy("place").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -181,10 +194,13 @@ def spelling_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     are moved; words of any length are handled, long ones in blocks of fewer.
     """
     counted = spelled(docs, shortest, text, doc_id).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    vocabulary = stored(counted)
-    near = near_words(vocabulary)
-    joined = vocabulary.join(near, "word", "left").withColumn("enough", F.col("form_n") >= factor * F.col("n"))
+    # places follow frequency, then code points; no two words are equal, so a task that is run again gives the same
+    ordered = counted.repartitionByRange(F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word")
+    vocabulary = stored(ordered.select(F.monotonically_increasing_id().alias("place"), "word", "n"))
+    others = vocabulary.select(F.col("place").alias("best"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    near = near_words(vocabulary).join(others, "best").select("place", "n_near", "other", "other_n")
+    joined = vocabulary.join(near, "place", "left").withColumn("enough", F.col("other_n") >= factor * F.col("n"))
     judged = stored(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
-                                  *[F.when(F.col("enough"), F.col(c)).alias(c) for c in ("form", "form_n")]))
+                                  F.when(F.col("enough"), F.col("other")).alias("form"), F.when(F.col("enough"), F.col("other_n")).alias("form_n")))
     roots = _roots(judged.where("form IS NOT NULL"))
     return judged.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
