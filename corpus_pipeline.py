@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.column_suffixes import as_text, suffix_dedup
+from tracewell.llm.column_suffixes import suffix_dedup
 from tracewell.llm.extendible_dedup import exact_dedup
 from tracewell.llm.factorisation import score, train
 from tracewell.llm.gray_simhash import fingerprints, simhash_dedup
@@ -22,22 +22,28 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return score(docs, train(docs, labels)).where("predicted = 1").select(*COLUMNS)
 
 
+def one_each(docs: DataFrame, *key: str) -> DataFrame:
+    """One row of all that share a key: the longest text, then the first by its columns; copies meet in map-side steps."""
+    first = F.min(F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("less"), *COLUMNS))
+    return docs.groupBy(*key).agg(first.alias("first")).select(*[F.col(f"first.{c}").alias(c) for c in COLUMNS])
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal but for white space."""
-    return exact_dedup(docs).where("kept").select(*COLUMNS)
+    """One row of each group of texts that are equal but for white space, rows that repeat an id included."""
+    kept = exact_dedup(docs.select(*COLUMNS)).where("kept")
+    return one_each(kept, "doc_id", "text_sha256")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints at 3 or fewer bits, of shingles of 3 words."""
     grouped = simhash_dedup(fingerprints(docs.select(*COLUMNS), width=3), most=3)
-    return grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*COLUMNS)
+    return one_each(grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "group_id")
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 400-byte strings that start anywhere else too; a document may end up empty, but stays."""
-    cut = suffix_dedup(docs.select(*COLUMNS), length=400)
-    text = as_text(F.col("kept"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    cut = suffix_dedup(docs.select(*COLUMNS), length=400, decoded=True)
+    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: Every stage takes (spark, docs, sf_dir); it works on the table that the stage before it wrote.
 STAGES = [("quality", good_quality), ("exact_dedup", exact), ("simhash_dedup", near), ("suffix_dedup", long_repeats), ("packing", packing)]
-#: SQL can express neither the classifier nor the tokenizer; the tests compare the stages with brute force.
+#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_pipeline.py compares the stages with plain code.
 ORACLE_SQL = None
 
 

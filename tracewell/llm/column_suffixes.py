@@ -269,18 +269,12 @@ def repeated_ranges(texts: DataFrame, length: int = 400, largest: int = LARGEST_
     return reduce(DataFrame.unionAll, [ranges, *more, sorted_ranges])
 
 
-def as_text(kept: Column) -> Column:
-    """Kept bytes as text, without the parts of characters that a cut went through."""
-    @F.pandas_udf("string")
-    def decoded(parts: pd.Series) -> pd.Series:
-        return pd.Series([data.decode("utf-8", "ignore") for data in parts], dtype=object)
-
-    return decoded(kept)
-
-
-def suffix_dedup(docs: DataFrame, length: int = 400, text: str = "text", largest: int = LARGEST_GROUP) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, text: str = "text", largest: int = LARGEST_GROUP, decoded: bool = False) -> DataFrame:
     """Add n_bytes, n_removed, n_spans and kept (the bytes left) to every row.
 
+    With ``decoded``, kept is text, without the parts of characters that a cut
+    went through.
+
     Every byte of the text's UTF-8 that a string of ``length`` bytes covers
     which also starts anywhere else, in the same row or another, is removed;
     strings may overlap and are judged on the input. Rows with equal texts
@@ -294,7 +288,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, text: str = "text", largest
     ranges = repeated_ranges(rows.select("_t_row", "_t_text"), length, largest)
     spans = stored(ranges.groupBy(F.col("row").alias("_t_at")).agg(F.collect_set(F.struct("start", "stop")).alias("_t_spans")))
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
+    @F.pandas_udf(f"n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}")
     def removed(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for data, some in zip(texts, spans):
@@ -309,7 +303,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, text: str = "text", largest
                 reach = max(reach, stop)
                 at = reach
             kept.append(data[at:])
-            out.append((n, gone, runs, b"".join(kept)))
+            left = b"".join(kept)
+            out.append((n, gone, runs, left.decode("utf-8", "ignore") if decoded else left))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = rows.join(spans.hint("merge"), rows["_t_row"] == spans["_t_at"], "left")

@@ -17,7 +17,7 @@ from tracewell.llm.tables import stored, whole_text
 
 SEED = 42
 BLOCK, FANOUT, CHUNK = 2048, 8, 400_000
-RESULTS = ("fingerprint", "component_id")
+RESULTS = ("fingerprint", "component_id", "group_id")
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -171,19 +171,22 @@ def links(prints: DataFrame, most: int) -> DataFrame:
 
 
 def simhash_dedup(printed: DataFrame, most: int = 3, doc_id: str = "doc_id", fp: str = "_t_fp") -> DataFrame:
-    """Add fingerprint (hex) and component_id to rows that carry ``fp`` (see ``fingerprints``).
+    """Add fingerprint (hex), component_id and group_id to rows that carry ``fp`` (see ``fingerprints``).
 
     component_id is the smallest id reachable over links of ``most`` or fewer
     bits; the row whose id it is stays. Rows of equal fingerprint are one node
-    of the graph. A group without any id has a NULL component. An empty table
-    gives an empty result.
+    of the graph. A group without any id has a NULL component; group_id, the
+    group's least fingerprint as a number, tells all groups apart, also where
+    rows of one id are in several. An empty table gives an empty result.
     """
     rows = stored(printed.drop(*RESULTS))
     prints = stored(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first")))
     found = stored(components(stored(links(prints.select("fp"), most))))
-    lowest = found.join(prints, found.node == prints.fp).groupBy("component").agg(F.min("first").alias("lowest"))
-    joined = found.join(lowest, "component").select(F.col("node").alias("fp"), "lowest", F.lit(True).alias("linked"))
+    lowest = found.join(prints, found.node == prints.fp).groupBy("component").agg(
+        F.min("first").alias("lowest"), F.min("node").alias("group"))
+    joined = found.join(lowest, "component").select(F.col("node").alias("fp"), "lowest", "group")
     nodes = stored(prints.join(joined, "fp", "left").select(
-        F.col("fp").alias("_t_node"), F.when(F.col("linked"), F.col("lowest")).otherwise(F.col("first")).alias("component_id")))
+        F.col("fp").alias("_t_node"), F.when(F.col("group").isNotNull(), F.col("lowest")).otherwise(F.col("first")).alias("component_id"),
+        F.coalesce("group", "fp").alias("group_id")))
     return rows.join(nodes, F.col(fp) == F.col("_t_node")).withColumn(
         "fingerprint", F.lower(F.lpad(F.hex(fp), 16, "0"))).drop(fp, "_t_node")

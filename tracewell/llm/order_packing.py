@@ -33,6 +33,15 @@ class WordTokens:
     it is. The store of known words starts afresh when full.
     """
 
+    _stores: dict[str, WordTokens] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """The store of this Python worker, which serves all its tasks."""
+        if path not in cls._stores:
+            cls._stores[path] = cls(path)
+        return cls._stores[path]
+
     PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+").findall
 
@@ -178,7 +187,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, text:
             "doc_tokens": (ends - doc_starts)[doc], "sequence_id": first + seq, "offset": begins - cut_starts[seq]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, keys, packed, held = WordTokens(path), [], [], 0
+        words, keys, packed, held = WordTokens.of(path), [], [], 0
         end, first = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 33
         for batch in batches:
             for key, content in zip(batch.iloc[:, 0].astype(object).where(batch.iloc[:, 0].notna(), None), batch["_t_text"]):
