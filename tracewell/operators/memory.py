@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.sources.versions import VersionedTable
 
 KEY = ["agent_id", "key"]
 
@@ -48,3 +49,47 @@ def list_memory(memory: DataFrame, agent: str, tags: Sequence[str] | None = None
         found = found.where(F.array_contains("tags", tag))
     # a key is unique only with its agent
     return found if limit is None else found.orderBy(F.col("updated_at").desc(), "key", "agent_id").limit(limit)
+
+
+def compact_log(log: DataFrame) -> DataFrame:
+    """The rows of a change log that later rows can still meet.
+
+    For every key its last row, its last delete, and the first put since then,
+    which dates the entry. ``memory_view`` of these rows and any later ones is
+    that of the whole log and the later ones, puts that arrive out of order
+    included; only a delete that is older than a row it is compacted with may
+    find that row gone.
+    """
+    at = F.struct("ts", "seq")
+    row = F.struct(*[c for c in log.columns if c not in KEY])
+    is_delete = F.col("op") == "delete"
+    marks = log.groupBy(*KEY).agg(F.max_by(row, at).alias("_last"), F.max_by(row, F.when(is_delete, at)).alias("_deleted"))
+    since = F.col("_deleted").isNull() | (at > F.struct("_deleted.ts", "_deleted.seq"))
+    firsts = log.where(~is_delete).join(marks.select(*KEY, "_deleted"), KEY).where(since).groupBy(*KEY).agg(F.min_by(row, at).alias("_first"))
+    kept = F.array_distinct(F.filter(F.array("_last", "_deleted", "_first"), lambda r: r.isNotNull()))
+    rows = marks.join(firsts, KEY, "left").select(*KEY, F.explode(kept).alias("_row"))
+    return rows.select(*[F.col(c) if c in KEY else F.col(f"_row.{c}") for c in log.columns])
+
+
+class MemoryLog:
+    """A change log kept as a snapshot and a tail of batches under one manifest.
+
+    ``append`` adds to the tail, ``compact`` turns snapshot and tail into a new
+    snapshot; a reader sees the log before or after either, never in between.
+    """
+
+    def __init__(self, table: VersionedTable):
+        self.table = table
+
+    def append(self, changes: DataFrame) -> None:
+        before = self.table.manifest()
+        self.table.commit(before, before.folders + self.table.write(changes), changes.schema, before.info)
+
+    def compact(self) -> None:
+        before = self.table.manifest()
+        if len(before.folders) > 1:
+            self.table.replace(before, compact_log(self.table.read(before)), before.info)
+
+    def view(self) -> DataFrame:
+        """The live entries."""
+        return memory_view(self.table.read())

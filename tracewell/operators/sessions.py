@@ -61,12 +61,18 @@ def _slotted(events: DataFrame, timeout: timedelta, closes: DataFrame | None) ->
     return e.join(r, same & inside, "left").select("e.*", F.coalesce(F.col("r._cut"), F.lit(0)).alias("_cut"))
 
 
-def _segments(slotted: DataFrame, timeout: timedelta, closes: DataFrame | None, extra: list[Column]) -> DataFrame:
-    """One row per slot piece, with the start of its session and the next close."""
+def _segments(slotted: DataFrame, timeout: timedelta, closes: DataFrame | None, extra: list[Column],
+              carried: DataFrame | None = None) -> DataFrame:
+    """One row per slot piece, with the start of its session and the next close.
+
+    ``carried`` has open sessions of earlier events as pieces.
+    """
     us = F.unix_micros("ts")
     complete = F.col("_slot").isNotNull() & F.col("agent_id").isNotNull() & F.col("session_token").isNotNull()
     pieces = slotted.where(complete).groupBy(*_SLOT).agg(
         F.min(us).alias("_first"), F.max(us).alias("_last"), F.count(F.lit(1)).alias("_n"), *extra)
+    if carried is not None:
+        pieces = pieces.unionByName(carried, allowMissingColumns=True)
     if closes is not None:
         marks = _close_times(closes, timeout).select(*OWNER, F.col("_closed"), F.col("_closed").alias("_first"))
         pieces = pieces.withColumn("_closed", F.lit(None).cast("bigint")).unionByName(marks, allowMissingColumns=True)
@@ -106,6 +112,19 @@ def sessionize(events: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT, closes:
         .select(*names, "session_id", "session_seq", "session_started_at")
 
 
+def merged_sessions(events: DataFrame, timeout: timedelta, closes: DataFrame | None, carried: DataFrame | None = None) -> DataFrame:
+    """Sessions with start and last event in microseconds, count, origin and next close (``_started, _last, event_count, _origin, _close``)."""
+    context = F.col("context")
+    origin = F.min_by(
+        F.struct(F.get_json_object(context, "$.project_dir").alias("project_dir"),
+                 F.get_json_object(context, "$.git_branch").alias("git_branch")),
+        F.struct("ts", "event_id")).alias("_origin")
+    segments = _segments(_slotted(events, timeout, closes), timeout, closes, [origin], carried)
+    return segments.groupBy("session_id", *OWNER, "session_seq", F.col("_started")).agg(
+        F.max("_last").alias("_last"), F.sum("_n").alias("event_count"),
+        F.min_by("_origin", "_first").alias("_origin"), F.max_by("_next_close", "_last").alias("_close"))
+
+
 def session_rollup(events: DataFrame, as_of: Column, timeout: timedelta = DEFAULT_TIMEOUT,
                    closes: DataFrame | None = None, pins: DataFrame | None = None) -> DataFrame:
     """One row per session. ``pins`` lists pinned ``session_id`` values.
@@ -114,16 +133,7 @@ def session_rollup(events: DataFrame, as_of: Column, timeout: timedelta = DEFAUL
     it went idle is ``completed``; else, once idle for longer than the timeout at
     ``as_of``, ``timed_out``; else ``active``.
     """
-    context = F.col("context")
-    origin = F.min_by(
-        F.struct(F.get_json_object(context, "$.project_dir").alias("project_dir"),
-                 F.get_json_object(context, "$.git_branch").alias("git_branch")),
-        F.struct("ts", "event_id")).alias("_origin")
-    narrow = events.select("event_id", *OWNER, "ts", "context")
-    segments = _segments(_slotted(narrow, timeout, closes), timeout, closes, [origin])
-    sessions = segments.groupBy("session_id", *OWNER, "session_seq", F.col("_started")).agg(
-        F.max("_last").alias("_last"), F.sum("_n").alias("event_count"),
-        F.min_by("_origin", "_first").alias("_origin"), F.max_by("_next_close", "_last").alias("_close"))
+    sessions = merged_sessions(events.select("event_id", *OWNER, "ts", "context"), timeout, closes)
     idle_at = F.col("_last") + _micros(timeout)
     now = F.unix_micros(as_of)
     closed = (F.col("_close") <= idle_at) & (F.col("_close") <= now)
