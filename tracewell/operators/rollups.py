@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import is_valid_agent_id
@@ -57,6 +57,38 @@ def merge_agents(old: DataFrame, delta: DataFrame) -> DataFrame:
         F.sum("total_sessions").alias("total_sessions"), F.sum("total_events").alias("total_events"))
 
 
+OWNER_COLUMNS = ("agent_id", "session_token", "first_seen", "last_seen", "total_sessions", "total_events")
+
+
+def owner_totals(sessions: DataFrame) -> DataFrame:
+    """Totals per agent and token of a batch, with the ends that tell whether its first and last session go on elsewhere."""
+    return sessions.groupBy("agent_id", "session_token").agg(
+        F.min("started_at").alias("first_seen"), F.max("last_event_at").alias("last_seen"),
+        F.count(F.lit(1)).alias("total_sessions"), F.sum("event_count").alias("total_events"))
+
+
+def merge_owner_totals(totals: DataFrame, timeout: timedelta) -> DataFrame:
+    """One row per agent and token from the ``owner_totals`` of batches that were cut by time, in any number and order.
+
+    A session that a cut went through is in two batches, the gap between them
+    no longer than ``timeout``; it counts once. What is merged can be merged
+    again. What meets per agent and token is one row per batch.
+    """
+    order = Window.partitionBy("agent_id", "session_token").orderBy("first_seen", "last_seen")
+    gap = F.unix_micros("first_seen") - F.unix_micros(F.lag("last_seen").over(order))
+    goes_on = F.coalesce(gap <= timeout // timedelta(microseconds=1), F.lit(False)).cast("bigint")
+    return totals.select(*OWNER_COLUMNS).withColumn("_goes_on", goes_on).groupBy("agent_id", "session_token").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        (F.sum("total_sessions") - F.sum("_goes_on")).alias("total_sessions"), F.sum("total_events").alias("total_events"))
+
+
+def agents_of_owners(owners: DataFrame) -> DataFrame:
+    """Totals per agent from those per agent and token."""
+    return owners.groupBy("agent_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("total_sessions").alias("total_sessions"), F.sum("total_events").alias("total_events"))
+
+
 def agent_project_activity(events: DataFrame) -> DataFrame:
     """Events, sessions and errors per agent and project."""
     project = F.get_json_object("context", "$.project_dir")

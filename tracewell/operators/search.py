@@ -23,13 +23,20 @@ def _contains_text(col: Column, text: str) -> Column:
     return F.lower(col).contains(text.lower())
 
 
-def newest_first(df: DataFrame, limit: int | None = None, after: tuple[datetime, str] | None = None,
+def newest_first(df: DataFrame, limit: int | None = None, after: tuple[datetime | None, str] | None = None,
                  ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Newest rows first. ``after`` is the ``(ts, id)`` of the last row already
-    seen: a page costs a filter and a top-k, never a scan past earlier pages."""
+    """Newest rows first, rows without a time last, in the order of their ids.
+
+    ``after`` is the ``(ts, id)`` of the last row already seen, ``(None, id)``
+    among those without a time: a page costs a filter and a top-k, never a scan
+    past earlier pages."""
     if after is not None:
-        at = F.lit(after[0]).cast("timestamp")
-        df = df.where((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(tie) > F.lit(after[1]))))
+        later_id = F.col(tie) > F.lit(after[1])
+        if after[0] is None:
+            df = df.where(F.col(ts).isNull() & later_id)
+        else:
+            at = F.lit(after[0]).cast("timestamp")
+            df = df.where((F.col(ts) < at) | ((F.col(ts) == at) & later_id) | F.col(ts).isNull())
     ordered = df.orderBy(F.col(ts).desc(), F.col(tie))
     return ordered if limit is None else ordered.limit(limit)
 
@@ -38,7 +45,7 @@ def search_events(events: DataFrame, agent: str | None = None, session: str | No
                   types: Sequence[str] | None = None, severities: Sequence[str] | None = None,
                   tools: Sequence[str] | None = None, tags: Sequence[str] | None = None, trace: str | None = None,
                   since: datetime | None = None, until: datetime | None = None, text: str | None = None,
-                  limit: int | None = None, after: tuple[datetime, str] | None = None) -> DataFrame:
+                  limit: int | None = None, after: tuple[datetime | None, str] | None = None) -> DataFrame:
     """Agent events that meet every given condition; all ``tags`` must be present."""
     conditions = []
     for name, value in (("agent_id", agent), ("session_id", session), ("trace_id", trace)):
@@ -67,7 +74,7 @@ def _time_range(since: datetime | None, until: datetime | None) -> list[Column]:
 def list_system(system: DataFrame, services: Sequence[str] | None = None, severities: Sequence[str] | None = None,
                 trace: str | None = None, session: str | None = None, text: str | None = None,
                 since: datetime | None = None, until: datetime | None = None,
-                limit: int | None = None, after: tuple[datetime, str] | None = None) -> DataFrame:
+                limit: int | None = None, after: tuple[datetime | None, str] | None = None) -> DataFrame:
     conditions = _time_range(since, until)
     for name, values in (("source_service", services), ("severity", severities)):
         if values is not None:
@@ -83,7 +90,7 @@ def list_system(system: DataFrame, services: Sequence[str] | None = None, severi
 
 def list_sessions(sessions: DataFrame, agent: str | None = None, statuses: Sequence[str] | None = None,
                   project: str | None = None, since: datetime | None = None, limit: int | None = None,
-                  after: tuple[datetime, str] | None = None) -> DataFrame:
+                  after: tuple[datetime | None, str] | None = None) -> DataFrame:
     """Sessions that meet the filters, and pinned ones whatever the filters."""
     conditions = []
     if agent is not None:
@@ -105,7 +112,7 @@ def errors_with_context(events: DataFrame, before: int = 5, after: int = 5) -> D
 
     ``position`` is relative to the error. Neighbours are found by an equal join
     on the row number, so the work grows with errors times window, not with
-    their square.
+    their square. Events without a session are neighbours of each other.
     """
     # Rows are numbered on narrow columns: no payload travels through the sort.
     narrow = events.select("session_id", "event_id", "ts", "severity", "tool_name", "message")
@@ -113,8 +120,10 @@ def errors_with_context(events: DataFrame, before: int = 5, after: int = 5) -> D
     wanted = numbered.where(is_error()).select(
         "session_id", F.col("event_id").alias("error_id"), F.col("n").alias("_at"),
         F.explode(F.sequence(F.col("n") - before, F.col("n") + after)).alias("n"))
-    return wanted.join(numbered, ["session_id", "n"]).select(
-        "session_id", "error_id", (F.col("n") - F.col("_at")).alias("position"), "event_id", "ts", "severity", "tool_name", "message")
+    w, n = wanted.alias("w"), numbered.alias("n")
+    same = F.col("w.session_id").eqNullSafe(F.col("n.session_id")) & (F.col("w.n") == F.col("n.n"))
+    return w.join(n, same).select(
+        "n.session_id", "error_id", (F.col("n.n") - F.col("_at")).alias("position"), "event_id", "ts", "severity", "tool_name", "message")
 
 
 def file_blame(events: DataFrame, history: bool = False) -> DataFrame:

@@ -291,4 +291,30 @@ ORACLES = {
     "stream_agent_totals": f"""WITH {_EVENTS} SELECT agent_id, min(us) AS first_seen_us, max(us) AS last_seen_us, count(*) AS total_events
         FROM agent_events GROUP BY agent_id""",
     "stream_embed_texts": _EMBED,
+    "errors_context_incomplete": f"""WITH {_sessions(_12H).replace("FROM agent_events" + chr(10) + "  WINDOW", "FROM (SELECT * FROM agent_events WHERE k % 10 <> 7) WINDOW")},
+        al AS (SELECT session_id, event_id, severity, us, num FROM se
+          UNION ALL SELECT NULL, event_id, severity, us, num FROM agent_events WHERE k % 10 = 7),
+        n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us, num) AS n FROM al)
+        SELECT e.session_id, e.event_id AS error_id, c.n - e.n AS position, c.event_id FROM n e JOIN n c
+        ON e.session_id IS NOT DISTINCT FROM c.session_id AND c.n BETWEEN e.n - 2 AND e.n + 2 WHERE e.severity = 'error'""",
+    "log_search_untimed": f"""WITH {_EVENTS}, errors AS (
+          SELECT event_id, CASE WHEN k % 10 <> 3 THEN us END AS ts_us FROM agent_events WHERE severity = 'error'),
+        one AS (SELECT 1 AS page, * FROM errors WHERE ts_us IS NULL OR ts_us <= 1704067200000000
+          ORDER BY ts_us DESC NULLS LAST, event_id LIMIT 40),
+        two AS (SELECT 2 AS page, * FROM errors WHERE ts_us IS NULL AND event_id > '5' ORDER BY event_id LIMIT 40)
+        SELECT * FROM one UNION ALL SELECT * FROM two""",
+    "append_once_counts": f"""WITH {_EVENTS}, cut AS (SELECT *, ts >= TIMESTAMP '2024-01-16' AS late FROM agent_events)
+        SELECT strftime(make_timestamp(us), '%Y-%m-%d') AS day, count(*) AS events,
+          (SELECT count(*) FROM cut WHERE late OR num % 3 = 0) AS seen, (SELECT count(*) FROM cut WHERE late) AS inserted
+        FROM cut GROUP BY 1""",
+    "stream_closed_sessions_closes": f"""WITH {_sessions(_12H, True)},
+        mark AS (SELECT max(us) - 600000000 AS w FROM agent_events),
+        judged AS (SELECT *, last_type = 'git_commit' AS done FROM sessions, mark)
+        SELECT session_id, session_token, agent_id, CASE WHEN done THEN 'completed' ELSE 'timed_out' END AS status, project_dir, git_branch,
+          started_at_us, CASE WHEN done THEN last_event_at_us ELSE last_event_at_us + {_12H} END AS ended_at_us, last_event_at_us, event_count
+        FROM judged WHERE CASE WHEN done THEN last_event_at_us < w ELSE last_event_at_us + {_12H} < w END""",
+    "stream_trace_relink": _CORRELATE,
 }
+for _name, _same in (("agents_merged_by_time", "agents_merged"), ("retention_removed", "retention_10d"), ("memory_compacted", "memory_entries"),
+                     ("stream_agent_sessions", "agents_merged")):
+    ORACLES[_name] = ORACLES[_same]

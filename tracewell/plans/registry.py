@@ -18,10 +18,11 @@ from tracewell.functions.vectors import cosine, noop_vector
 from tracewell.operators.checkpoints import work_dir
 from tracewell.operators.edges import caused_by, enrich_calls, followed_by, owns, spawned_sessions, tool_patterns, touched
 from tracewell.operators.embedding import check_dims, embed
-from tracewell.operators.memory import list_memory, memory_view, visible
-from tracewell.operators.retention import apply_retention
+from tracewell.operators.memory import MemoryLog, list_memory, memory_view, visible
+from tracewell.operators.retention import apply_retention, enforce_retention
 from tracewell.operators.rollups import (
-    agent_project_activity, agent_rollup, agent_totals, merge_agents, new_agents, session_files, session_tools,
+    agent_project_activity, agent_rollup, agent_totals, agents_of_owners, merge_agents, merge_owner_totals, new_agents, owner_totals,
+    session_files, session_tools,
 )
 from tracewell.operators.search import (
     errors_with_context, file_blame, list_sessions, list_system, search_events, timeline,
@@ -35,9 +36,12 @@ from tracewell.plans import workload as w
 from tracewell.sources.agent_events import read_agent_events
 from tracewell.sources.hooks import read_hook_events
 from tracewell.sources.otlp import read_otlp_logs, read_otlp_traces
-from tracewell.sources.sinks import append_events
+from tracewell.sources.sinks import append_events, append_once
+from tracewell.sources.versions import VersionedTable
+from tracewell.streaming.closes import SessionCloser, activity
 from tracewell.streaming.correlate import start_agent_counters, start_correlator
 from tracewell.streaming.ingest import payload_stream, stream_embed, stream_otlp, stream_otlp_rejects
+from tracewell.streaming.relink import TraceLinker
 from tracewell.streaming.sessions import on_session_close, start_session_closer, stream_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -563,3 +567,120 @@ def stream_embed_texts(spark, sf):
     docs = w.table(spark, sf, "documents", stream=True).select("doc_id", "text")
     stream_embed(docs, "text", load_text_stats, 3, sink, checkpoint, **NOW).awaitTermination()
     return spark.read.parquet(sink).select("doc_id", *[F.col("embedding")[i].cast("bigint").alias(f"v{i}") for i in range(3)])
+
+
+@query
+def errors_context_incomplete(spark, sf):
+    """Errors and their neighbours where some events have no session token, and so no session."""
+    token = F.when(F.get_json_object("params", "$.max_tokens").cast("bigint") % 10 != 7, F.col("session_token"))
+    events = sessionize(w.agent_events(spark, sf).withColumn("session_token", token), HALF_DAY)
+    return errors_with_context(events, before=2, after=2).select("session_id", "error_id", "position", "event_id")
+
+
+def _some_without_time(spark, sf):
+    """Agent events; those of one value in ten have no time."""
+    timed = F.get_json_object("params", "$.max_tokens").cast("bigint") % 10 != 3
+    return w.agent_events(spark, sf).withColumn("ts", F.when(timed, F.col("ts")))
+
+
+@query
+def log_search_untimed(spark, sf):
+    """A page at the end of the errors, and the next one: rows without a time come last and are not lost."""
+    events, last = _some_without_time(spark, sf), _at(1)
+    first = search_events(events, severities=["error"], limit=40, after=(last, ""))
+    second = search_events(events, severities=["error"], limit=40, after=(None, "5"))
+    return first.select(F.lit(1).alias("page"), "event_id", us("ts")).unionAll(second.select(F.lit(2).alias("page"), "event_id", us("ts")))
+
+
+@query
+def agents_merged_by_time(spark, sf):
+    """Totals of three batches cut by time, sessions that go on across a cut counted once."""
+    events, cuts = w.agent_events(spark, sf), (_at(10), _at(20))
+    day = F.unix_micros("ts")
+    low, high = (F.unix_micros(F.lit(c).cast("timestamp")) for c in cuts)
+    batches = [events.where(day < low), events.where((day >= low) & (day < high)), events.where(day >= high)]
+    first, *others = [owner_totals(session_rollup(b, w.as_of(), HALF_DAY)) for b in batches]
+    merged = merge_owner_totals(merge_owner_totals(first.unionByName(others[0]), HALF_DAY).unionByName(others[1]), HALF_DAY)
+    return agents_of_owners(merged).select("agent_id", us("first_seen"), us("last_seen"), "total_sessions", "total_events")
+
+
+@query
+def append_once_counts(spark, sf):
+    """Two batches of events, the second overlapping the first and delivered twice; rows per day with what each commit counted."""
+    table = VersionedTable(spark, f"{work_dir(spark)}/events")
+    events = w.agent_events(spark, sf).select("event_id", "agent_id", "ts")
+    early, late = F.unix_micros("ts") < F.unix_micros(F.lit(_at(16)).cast("timestamp")), F.col("event_id").cast("bigint") % 3 == 0
+    counts = [append_once(events.where(early), table, "log", 0)]
+    counts += [append_once(events.where(~early | late), table, "log", 1) for _ in range(2)]
+    per_day = table.read().groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("events"))
+    return per_day.select("day", "events", F.lit(counts[1]["seen"]).cast("bigint").alias("seen"),
+                          F.lit(counts[2]["inserted"]).cast("bigint").alias("inserted"))
+
+
+@query
+def retention_removed(spark, sf):
+    """What a table holds after retention has removed ten-day-old rows and their files."""
+    table = VersionedTable(spark, f"{work_dir(spark)}/events")
+    append_once(w.agent_events(spark, sf).select("event_id", "ts"), table, "log", 0)
+    enforce_retention(table, datetime.fromtimestamp(w.AS_OF_SECONDS, timezone.utc), days=10)
+    table.vacuum(keep=1)
+    return table.read().select("event_id", us("ts"))
+
+
+@query
+def memory_compacted(spark, sf):
+    """Live entries of a log that was compacted in its middle."""
+    log, memory = w.memory_log(spark, sf), MemoryLog(VersionedTable(spark, f"{work_dir(spark)}/memory"))
+    last = log.agg(F.max("seq")).first()[0]
+    early, middle = F.col("seq") < last // 3, F.col("seq") < last // 2
+    for part in (early, ~early & middle):
+        memory.append(log.where(part))
+    memory.compact()
+    memory.append(log.where(~middle))
+    return memory.view().select("agent_id", "key", "value", "shared", us("created_at"), us("updated_at"))
+
+
+def _file_stream(spark, folder, schema):
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+@query
+def stream_closed_sessions_closes(spark, sf):
+    """Sessions that a stream of events and close requests has closed, with state and end."""
+    source, state, sessions, late, checkpoint = _stream_dirs(spark, "activity", "state", "sessions", "late")
+    rows = activity(w.agent_events(spark, sf), _commit_closes(spark, sf))
+    middle = F.unix_micros("ts") < F.unix_micros(F.lit(_at(16)).cast("timestamp"))
+    closer = SessionCloser(spark, state, sessions, late, HALF_DAY)
+    for part in (middle, ~middle):  # the stream stops and goes on
+        rows.where(part).write.mode("append").parquet(source)
+        closer.start(_file_stream(spark, source, rows.schema), checkpoint, **NOW).awaitTermination()
+    return spark.read.parquet(sessions).select(
+        "session_id", "session_token", "agent_id", "status", "project_dir", "git_branch", us("started_at"), us("ended_at"),
+        us("last_event_at"), "event_count")
+
+
+@query
+def stream_agent_sessions(spark, sf):
+    """Totals of all agents while the stream is open, sessions that have not closed yet included."""
+    state, sessions, late, checkpoint = _stream_dirs(spark, "state", "sessions", "late")
+    closer = SessionCloser(spark, state, sessions, late, HALF_DAY)
+    closer.start(activity(w.agent_events(spark, sf, stream=True)), checkpoint, **NOW).awaitTermination()
+    return closer.agents().select("agent_id", us("first_seen"), us("last_seen"), "total_sessions", "total_events")
+
+
+@query
+def stream_trace_relink(spark, sf):
+    """System events come first and are linked again as the agent events arrive."""
+    source, agents, state, sink, checkpoint = _stream_dirs(spark, "rows", "agents", "state", "linked")
+    system = w.system_events(spark, sf).select(F.lit("system").alias("kind"), "event_id", "trace_id", "ts")
+    stored = _sessionized(spark, sf).select("event_id", "trace_id", "ts", "session_id")
+    linker = TraceLinker(spark, state, sink, lambda: spark.read.schema(stored.schema).parquet(agents), keep=timedelta(days=1000))
+    middle = F.unix_micros("ts") >= F.unix_micros(F.lit(_at(16)).cast("timestamp"))
+    stored.limit(0).write.parquet(agents)
+    for rows in (system, stored.where(middle), stored.where(~middle)):  # later agent events first: links change
+        if "kind" not in rows.columns:
+            rows.write.mode("append").parquet(agents)
+            rows = rows.select(F.lit("agent").alias("kind"), "event_id", "trace_id", "ts")
+        rows.write.mode("append").parquet(source)
+        linker.start(_file_stream(spark, source, system.schema), checkpoint, **NOW).awaitTermination()
+    return linker.linked().select("event_id", "trace_id", "session_id")

@@ -22,8 +22,6 @@ HOOK_EVENTS_PER_BATCH = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    # Event times are stored without a zone and are UTC.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if not stream:
         return batch
@@ -52,10 +50,15 @@ def _trace_id(block: Column) -> Column:
     return F.md5(F.concat(F.lit("t"), block.cast("string")))
 
 
+def _utc(ts: Column) -> Column:
+    """The instant of a time that is stored without a zone and is UTC, whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
 def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     e = table(spark, sf_dir, "events", stream)
     return e.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
+        "event_id", _utc(F.col("ts")).alias("ts"), "user_id",
         F.col("event_type").alias("kind"), "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         int_div(F.col("event_id"), 10).alias("block"), (F.col("event_id") % 10).alias("pos"),
@@ -145,7 +148,7 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = agent_events(spark, sf_dir)
     number = F.col("event_id").cast("bigint")
     one = F.to_json(F.struct(
-        "agent_id", "session_token", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        "agent_id", "session_token", F.date_format(F.convert_timezone(None, F.lit("UTC"), F.col("ts")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         "event_type", "severity", "tool_name", "message", "duration_ms", "tags", "trace_id", "span_id"))
     single = F.col("event_type") == "error"
     payload = F.when(single, number * 2).otherwise(int_div(number, HOOK_EVENTS_PER_BATCH) * 2 + 1)

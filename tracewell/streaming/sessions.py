@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.operators.sessions import DEFAULT_TIMEOUT, OWNER, attach_sessions, session_id
 from tracewell.operators.summaries import session_summary
+from tracewell.sources.sinks import utc_date
 
 
 def _interval(span: timedelta) -> str:
@@ -40,7 +41,7 @@ def _events_of(events: DataFrame, sessions: DataFrame) -> DataFrame:
     low, high = sessions.agg(F.min("started_at"), F.max("last_event_at")).first()
     recent = events.where(F.col("ts").between(F.lit(low), F.lit(high)))
     if "event_date" in events.columns:
-        recent = recent.where(F.col("event_date").between(F.to_date(F.lit(low)), F.to_date(F.lit(high))))
+        recent = recent.where(F.col("event_date").between(utc_date(F.lit(low)), utc_date(F.lit(high))))
     return attach_sessions(recent, sessions).where(F.col("session_id").isNotNull())
 
 
@@ -64,11 +65,46 @@ def on_session_close(stored_events: Callable[[], DataFrame], sessions_path: str,
         try:
             summarize(_events_of(stored_events(), stored)).write.mode("overwrite").parquet(f"{summaries_path}/{folder}")
         except Exception as error:  # a summary failure must never block the close
-            stored.select("session_id", F.lit(str(error)).alias("error")).write.mode("overwrite").parquet(f"{retry_path}/{folder}")
+            _dead_letters(stored, error, 1).write.mode("overwrite").parquet(f"{retry_path}/{folder}")
 
     return handle
 
 
+def _dead_letters(sessions: DataFrame, error: Exception, attempts: int) -> DataFrame:
+    return sessions.select("session_id", F.lit(str(error)).alias("error"), F.lit(attempts).alias("attempts"))
+
+
+def retry_summaries(spark: SparkSession, stored_events: Callable[[], DataFrame], sessions_path: str, summaries_path: str, retry_path: str,
+                    summarize: Callable[[DataFrame], DataFrame] = session_summary, most: int = 5) -> dict[str, int]:
+    """Summarise the batches in the retry table again; batches done, failed again, and given up.
+
+    A batch that succeeds writes the summary folder that its close would have
+    written, whole, and only then leaves the retry table: run twice, or ended
+    between the two, it gives each summary once. One that fails stays with its
+    last error and one attempt more, until it has had ``most``; then it stays
+    and is passed over.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(retry_path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = sorted(s.getPath().getName() for s in files.listStatus(root)) if files.exists(root) else []
+    outcome = {"done": 0, "failed": 0, "given_up": 0}
+    for folder in (f for f in folders if f.startswith("batch_id=")):
+        attempts = spark.read.parquet(f"{retry_path}/{folder}").agg(F.max("attempts")).first()[0]
+        if attempts >= most:
+            outcome["given_up"] += 1
+            continue
+        stored = spark.read.parquet(f"{sessions_path}/{folder}")
+        try:
+            summarize(_events_of(stored_events(), stored)).write.mode("overwrite").parquet(f"{summaries_path}/{folder}")
+        except Exception as error:
+            _dead_letters(stored, error, attempts + 1).write.mode("overwrite").parquet(f"{retry_path}/{folder}")
+            outcome["failed"] += 1
+        else:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{retry_path}/{folder}"), True)
+            outcome["done"] += 1
+    return outcome
+
+
 def start_session_closer(sessions: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
     return sessions.writeStream.foreachBatch(handler).outputMode("append").option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"processingTime": "1 minute"})).start()
