@@ -18,21 +18,21 @@ def redact(spark, docs, **options):
     return [r.doc for r in redact_json(df, ["doc"], **options).orderBy("i").collect()]
 
 
-CASES = [
-    {"region": "north", "old_passwd": "plum-9"},
-    {"apikey_backup": "k-1", "APIKEY": "k-2", "rows": 7},
-    {"title": "ledger", "pages": 310, "bound": False},
-    {"store": {"shelf": {"private_key": "m0ss", "height": 12}, "credential_file": "/x/y"}, "open": None},
-    {}, {"a": [{"token": [1, {"b": 2}]}, [{"auth": None}], "password"]}, {"author": {"x": 1}, "max_tokens": 5},
-    {'we"ird_token': "x", "pass\\word": 'a":{', "password\\": "y", "token\"x": "z"}, {"x": 'say "token": 5, {"password":"p"}'},
-    {"to\u212aen": "kelvin", "paſſword": "long s", "TOKEN": -1.5e10, "ok": "é\u2028"}, {"secret": "a\\\"b", "b": "c"},
-    {"outer": {"Bearer": {"deep": {"er": [1]}}, "z": [[], {}, [{"pwd": "q" * 20000}]]}},
-]
-
-
-def test_literal_documents(spark):
-    got = redact(spark, [json.dumps(c) for c in CASES])
-    assert [json.loads(g) for g in got] == [expected(c) for c in CASES]
+SPELLINGS = (str.lower, str.upper, lambda p: f"x{p.title()}9", lambda p: f"{p}\\", lambda p: f'q"{p}', lambda p: p.replace("s", "\u017f"))
+VALUES = ("p", 'say "token": 5', "a\\\"b", "q" * 20000, -1.5e10, True, None, [1, {"b": 2}], {"deep": {"er": [[], {}]}}, [], {})
+
+
+def test_every_pattern_and_kind_of_value(spark):
+    """Each pattern in each spelling over each kind of value, beside a plain member, at the top and within lists and objects."""
+    docs = []
+    for pattern in SENSITIVE_PATTERNS:
+        for k, spell in enumerate(SPELLINGS):
+            for value in VALUES[k % 2::2]:
+                member = {spell(pattern): value, "plain\u2028": [pattern, value]}
+                docs.append([member, {"o": member}, {"l": [[member], "x", member]}][len(docs) % 3])
+    assert len(docs) > 200
+    got = redact(spark, [json.dumps(d) for d in docs])
+    assert [json.loads(g) for g in got] == [expected(d) for d in docs]
 
 
 def test_random_documents(spark):

@@ -1,6 +1,7 @@
 """Literal tables for the column functions."""
 
 import json
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,10 +68,12 @@ def test_sensitive_keys(spark):
 
 
 def test_agent_ids(spark):
-    letters, digits, signs = "qT", "70", "-_"
-    valid = [*letters, *digits, *signs, "".join((letters, signs, digits)), "Z9" * 64, "_" * 127, "--crawler__8"]
-    invalid = [None, "", "Z9" * 64 + "k", "x" * 4000, *(f"q{c}7" for c in " .,@/:!#\\\t\n\u00e9\u4e2d"), "q7\n", "\nq7", " q7"]
-    assert apply(spark, s.is_valid_agent_id, valid + invalid) == [True] * len(valid) + [False] * len(invalid)
+    """Every ASCII character alone and within an id, some beyond ASCII, and the lengths around the limit."""
+    allowed = set(string.ascii_letters + string.digits + "-_")
+    chars = [chr(i) for i in range(128)] + ["\u00aa", "\u00e9", "\u0661", "\u4e2d", "\U0001f600"]
+    ids = [None, "", *chars, *(f"z{c}8" for c in chars), *("k" * n for n in (127, 128, 129, 4000))]
+    expected = [i is not None and 0 < len(i) <= 128 and set(i) <= allowed for i in ids]
+    assert apply(spark, s.is_valid_agent_id, ids) == expected
 
 
 def test_default_agent_id(spark):

@@ -13,10 +13,13 @@ from tracewell.operators.rollups import AGENT_COLUMNS, agent_totals, merge_agent
 from tracewell.operators.sessions import DEFAULT_TIMEOUT, OWNER, merged_sessions
 from tracewell.sources.versions import VersionedTable, rows_of
 
-ACTIVITY = T.StructType.fromDDL("kind string, agent_id string, session_token string, ts timestamp, event_id string, context string")
+ACTIVITY = T.StructType([
+    T.StructField("kind", T.StringType()), *[T.StructField(c, T.StringType()) for c in OWNER], T.StructField("ts", T.TimestampType()),
+    T.StructField("event_id", T.StringType()), T.StructField("context", T.StringType())])
 #: What stays between batches: events and requests that are not final yet, open sessions, totals of agents over closed ones.
-STATE = T.StructType.fromDDL("kind string, agent_id string, session_token string, ts timestamp, event_id string, context string, "
-                             "started long, last long, events long, sessions long, project_dir string, git_branch string")
+STATE = T.StructType([
+    *ACTIVITY.fields, *[T.StructField(c, T.LongType()) for c in ("started", "last", "events", "sessions")],
+    T.StructField("project_dir", T.StringType()), T.StructField("git_branch", T.StringType())])
 
 
 def activity(events: DataFrame, closes: DataFrame | None = None) -> DataFrame:

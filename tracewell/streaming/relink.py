@@ -14,7 +14,9 @@ from tracewell.operators.traces import correlate
 from tracewell.sources.versions import VersionedTable, rows_of
 
 #: System events of traces that may still change, with the session told last.
-WAITING = T.StructType.fromDDL("event_id string, trace_id string, ts timestamp, session_id string")
+WAITING = T.StructType([
+    T.StructField("event_id", T.StringType()), T.StructField("trace_id", T.StringType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("session_id", T.StringType())])
 KEEP = timedelta(hours=24)
 
 
