@@ -39,8 +39,8 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _OUTSIDE = 256  # the symbol of places before or after a document; equal to nothing, not even itself
 
 
-def _anchors_of(data: np.ndarray, stops: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Places of the anchors of all strings that lie inside one of the documents ending at ``stops``."""
+def _places(data: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The place of the anchor of every string of ``length`` bytes."""
     n, width = len(data), length - gram + 1
     if n < length:
         return np.zeros(0, "i8")
@@ -63,6 +63,12 @@ def _anchors_of(data: np.ndarray, stops: np.ndarray, length: int, gram: int) ->
         span *= 2
     if span < width:
         wider(width - span)
+    return place
+
+
+def _anchors_of(data: np.ndarray, stops: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Places of the anchors of all strings that lie inside one of the documents ending at ``stops``."""
+    place = _places(data, length, gram)
     starts = np.arange(len(place))
     inside = stops[np.searchsorted(stops, starts, "right")] >= starts + length
     return np.unique(place[inside])
@@ -182,49 +188,63 @@ def _sorted_collections(keyed: DataFrame, length: int, gram: int) -> DataFrame:
         run, "row long, start long, stop long")
 
 
-def _cut(places: DataFrame, texts: DataFrame, length: int, before: int) -> DataFrame:
-    """The contexts (key, row, at, left, data) of places (gram, row, at); texts are divided by row and stay where they are."""
+def _cut(places: DataFrame, texts: DataFrame, length: int, before: int, owned: bool = False) -> DataFrame:
+    """The contexts (key, row, at, left, data) of places (gram, row, at); texts are divided by row and stay where they are.
+
+    With ``owned`` also low and high, the first and last start, from the place,
+    of the strings that have their anchor there.
+    """
+    columns = ["key", "row", "at", "left", "data", *(("low", "high") if owned else ())]
+
+    def context(gram: int, row: int, at: int, text: bytes) -> tuple:
+        left = min(at, before)
+        data = text[at - left:at + length]
+        if not owned:
+            return gram, row, at, left, data
+        own = np.flatnonzero(_places(np.frombuffer(data, "u1"), length, length - before) == left)
+        return gram, row, at, left, data, int(own[0]) - left, int(own[-1]) - left
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row, text, some in zip(batch["_t_row"], batch["_t_text"], batch["places"]):
-                for place in some:
-                    at = place["at"]
-                    left = min(at, before)
-                    out.append((place["gram"], row, at, left, text[at - left:at + length]))
+                out += [context(place["gram"], row, place["at"], text) for place in some]
                 if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=["key", "row", "at", "left", "data"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["key", "row", "at", "left", "data"])
+                yield pd.DataFrame(out, columns=columns)
 
     of_row = stored(places.groupBy(F.col("row").alias("_t_row")).agg(F.collect_list(F.struct("gram", "at")).alias("places")))
     return texts.join(of_row.hint("merge"), "_t_row").select("_t_row", F.col("_t_text").cast("binary").alias("_t_text"), "places").mapInPandas(
-        run, "key long, row long, at long, left long, data binary")
+        run, "key long, row long, at long, left long, data binary" + (", low long, high long" if owned else ""))
 
 
 def _split_hot(contexts: DataFrame, length: int, before: int, largest: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Contexts of groups that are too large, in groups of at most ``largest``; and the ranges settled on the way.
 
     A group is split by the starts of its strings: half of the starts go to
-    one part, half to the other. All strings of a part share a core of bytes,
+    one part, half to the other, and a context only to parts with starts whose
+    anchor it was cut around. All strings of a part share a core of bytes,
     so contexts with different cores part company; contexts that agree in all
     bytes of the part settle each other, and one of them goes on. With one
     start left, core and string are the same. Every step is a grouping by hash
     with map-side sums, so no group ever meets in a task.
     """
-    columns = ("key", "row", "at", "left", "data")
-    large = stored(contexts.select(*columns, F.lit(-before).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high")))
+    columns = ("key", "row", "at", "left", "data", "begin", "end")
+    large = stored(contexts.select("key", "row", "at", "left", "data", F.col("low").alias("begin"), F.col("high").alias("end"),
+                                   F.lit(-before).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high")))
     small, settled = [], []
     while not large.isEmpty():
         middle = F.expr("low + (high - low) div 2")
-        halves = large.select("*", F.explode(F.array(F.struct(F.col("low").alias("l"), middle.alias("h")),
-                                                     F.struct((middle + 1).alias("l"), F.col("high").alias("h")))).alias("part"))
-        first, last = F.greatest(F.col("part.l"), -F.col("left")), F.least(F.col("part.h"), F.octet_length("data") - F.col("left") - length)
+        both = F.array(F.struct(F.col("low").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("high").alias("h")))
+        within = F.filter(both, lambda p: F.greatest(p["l"], F.col("begin")) <= F.least(p["h"], F.col("end")))
+        halves = large.select("*", F.explode(within).alias("part"))
+        first, last = F.greatest(F.col("part.l"), F.col("begin")), F.least(F.col("part.h"), F.col("end"))
         core = F.expr(f"substring(data, cast(left + part.h + 1 as int), cast({length} - (part.h - part.l) as int))")
         hull = F.substring("data", (F.col("left") + first + 1).cast("int"), (last - first + length).cast("int"))
-        parts = stored(halves.where((first <= last) & (F.col("part.l") <= F.col("part.h"))).select(
-            F.xxhash64("key", "part.l", core).alias("key"), "row", "at", "left", "data", F.col("part.l").alias("low"), F.col("part.h").alias("high"),
+        parts = stored(halves.select(
+            F.xxhash64("key", "part.l", core).alias("key"), *columns[1:], F.col("part.l").alias("low"), F.col("part.h").alias("high"),
             F.xxhash64(first, hull).alias("hull"), first.alias("first"), last.alias("last")))
         # any of the contexts that agree can go on: they agree in all bytes that are looked at from here
         hulls = stored(parts.groupBy("key", "hull").agg(
@@ -233,7 +253,7 @@ def _split_hot(contexts: DataFrame, length: int, before: int, largest: int) -> t
         settled.append(stored(parts.drop("data").join(hulls.where("n > 1").select("key", "hull").hint("merge"), ["key", "hull"]).select(
             "row", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + length).alias("stop"))))
         one = hulls.select("key", "one.*").join(kinds.hint("merge"), "key")
-        small.append(stored(one.where(f"kinds <= {largest}").select(*columns)))
+        small.append(stored(one.where(f"kinds <= {largest}").select(*columns[:5])))
         rest = stored(one.where(f"kinds > {largest}").select(*columns, "low", "high"))
         discard(large, parts, hulls, kinds)
         large = rest
@@ -263,7 +283,7 @@ def repeated_ranges(texts: DataFrame, length: int = 400, largest: int = LARGEST_
     hot = stored(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where(f"kinds > {largest}"))
     contexts, more = [_cut(kinds.join(hot, "gram", "left_anti"), texts, length, before)], []
     if not hot.isEmpty():
-        small, more = _split_hot(_cut(kinds.join(hot, "gram", "left_semi"), texts, length, before), length, before, largest)
+        small, more = _split_hot(_cut(kinds.join(hot, "gram", "left_semi"), texts, length, before, owned=True), length, before, largest)
         contexts += small
     sorted_ranges = _sorted_collections(reduce(DataFrame.unionAll, contexts), length, gram)
     return reduce(DataFrame.unionAll, [ranges, *more, sorted_ranges])
