@@ -19,6 +19,8 @@ from tracewell.operators.ordering import number_rows, time_slice
 
 DEFAULT_TIMEOUT = timedelta(minutes=30)
 OWNER = ["agent_id", "session_token"]
+#: Cells of the range join: 2^32 microseconds at level 0, 16 times as long at each further one, longer than all time at the last.
+CELL_BITS, LEVEL_BITS, LEVELS = 32, 4, 8
 _SLOT = [*OWNER, "_slot", "_cut"]
 
 
@@ -161,21 +163,41 @@ def attach_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """Give events the stored session of their agent and token that spans them."""
     bounds = sessions.select(*OWNER, "session_id", F.col("started_at").alias("_from"), F.col("last_event_at").alias("_to"))
     names = [c for c in events.columns if c != "session_id"]
-    return _by_day(events.select(*names), bounds)
+    return _within(events.select(*names), bounds)
 
 
-def _by_day(events: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Range join on equal days: a session is repeated for each day it touches,
-    so a day's events of an agent meet that day's sessions only."""
-    day = F.to_date("ts")
-    days = F.explode(F.sequence(F.to_date("_from"), F.to_date("_to")))
-    spread = bounds.withColumn("_day", days)
-    dated = events.withColumn("_day", day)
+def _cells_of(bounds: DataFrame) -> DataFrame:
+    """Each interval with the one or two cells that cover it, at the first level whose cells are as long as it is.
+
+    A cell is 2^32 microseconds, a little over an hour, sixteen times as long at every further level.
+    """
+    micros = bounds.withColumns({"_first": F.unix_micros("_from"), "_end": F.unix_micros("_to")}).where("_first <= _end")
+    over = F.shiftright(F.col("_end") - F.col("_first") - 1, CELL_BITS)
+    level = F.when(over <= 0, 0).otherwise(F.ceil(F.length(F.bin(over)) / LEVEL_BITS)).cast("int")
+    cells = F.expr(f"sequence(shiftright(_first, {CELL_BITS} + {LEVEL_BITS} * _level), shiftright(_end, {CELL_BITS} + {LEVEL_BITS} * _level))")
+    return micros.withColumn("_level", level).withColumn("_cell", F.explode(cells))
+
+
+def _within(events: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Range join through nested cells of time: events are never repeated, intervals only for cells that hold events.
+
+    The cells that hold events of an owner look up the intervals that touch
+    them, one cell a level; a long interval is two rows until then. Events then
+    meet the intervals of their cell, so an owner with a third of all events is
+    spread over its cells, and a cell that is still large can be split.
+    """
+    placed = events.withColumn("_cell", F.shiftright(F.unix_micros("ts"), CELL_BITS))
+    held = placed.select(*OWNER, F.col("_cell").alias("_held")).dropna().distinct() \
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))) \
+        .withColumn("_cell", F.expr(f"shiftright(_held, {LEVEL_BITS} * _level)"))
+    touching = held.join(_cells_of(bounds), [*OWNER, "_level", "_cell"]) \
+        .where((F.shiftright("_first", CELL_BITS) <= F.col("_held")) & (F.shiftright("_end", CELL_BITS) >= F.col("_held"))) \
+        .select(*OWNER, F.col("_held").alias("_cell"), "_from", "_to", "session_id")
     inside = (F.col("e.ts") >= F.col("s._from")) & (F.col("e.ts") <= F.col("s._to"))
-    same = (F.col("e._day") == F.col("s._day"))
+    same = F.col("e._cell") == F.col("s._cell")
     for c in OWNER:
         same = same & (F.col(f"e.{c}") == F.col(f"s.{c}"))
-    return dated.alias("e").join(spread.alias("s"), same & inside, "left") \
+    return placed.alias("e").join(touching.alias("s"), same & inside, "left") \
         .select(*[F.col(f"e.{c}") for c in events.columns], F.col("s.session_id").alias("session_id"))
 
 

@@ -56,13 +56,13 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, skip_self: bool =
     ``queries`` has ``query_id, vector``, ``candidates`` has ``id, vector``.
     Blocks of queries meet chunks of candidates of the same length; both are
     of bounded size, whatever the tables are, and each meeting keeps its best
-    ``k`` before they are shuffled. A NULL vector finds nothing and is found by
-    nothing. Queries that share an id but not the vector are ranked apart;
+    ``k`` before they are shuffled. A NULL or empty vector finds nothing and is
+    found by nothing. Queries that share an id but not the vector are ranked apart;
     repeated ones count once. Candidates that tie with the ``k``-th come by id.
     """
-    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where("vector IS NOT NULL") \
+    queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where("size(vector) > 0") \
         .withColumn("_query", F.xxhash64("query_id", "vector")).dropDuplicates(["_query"])
-    candidates = candidates.select(F.col("id").cast("string").alias("id"), "vector").where("vector IS NOT NULL")
+    candidates = candidates.select(F.col("id").cast("string").alias("id"), "vector").where("size(vector) > 0")
     blocks, chunks = (math.ceil(df.count() / size) or 1 for df, size in ((queries, QUERY_BLOCK), (candidates, CANDIDATE_CHUNK)))
 
     def part(key: Column, n: int) -> Column:

@@ -111,6 +111,8 @@ _WORDS = r"""WITH tokens AS (SELECT doc_id, unnest(string_split_regex(lower(text
 idx AS (SELECT word, doc_id, count(*) AS hits FROM tokens WHERE word <> '' GROUP BY ALL)"""
 _TEXT_HITS = _WORDS + """
 SELECT doc_id, CAST(sum(hits) AS BIGINT) AS hits FROM idx WHERE word IN ('the', 'and') GROUP BY doc_id HAVING count(*) = 2"""
+_SPOTS = r"""WITH cut AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM documents),
+spots AS (SELECT doc_id, len(words) AS length, unnest(words) AS word, generate_subscripts(words, 1) AS position FROM cut)"""
 _EMBED = """SELECT doc_id, CAST(length(text) AS BIGINT) AS v0, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS v1,
   CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS v2 FROM documents"""
 _ITEMS = f"""{_S12},
@@ -227,6 +229,14 @@ ORACLES = {
         WHERE source_service IN ('svc-1', 'unknown') AND severity = 'error' AND event_name ILIKE '%urgent%'""",
     "text_search_scan": _TEXT_HITS,
     "text_search_index": _TEXT_HITS,
+    "text_search_ranked": _SPOTS + """, total AS (SELECT count(*) AS n, sum(len(words)) / count(*) AS mean FROM cut),
+        hits AS (SELECT doc_id, word, length, count(*) AS tf FROM spots WHERE word IN ('the', 'and', 'of') GROUP BY ALL),
+        held AS (SELECT word, ln(1 + (any_value(total.n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM hits, total GROUP BY word),
+        scored AS (SELECT doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 9) AS score
+          FROM hits JOIN held USING (word), total GROUP BY doc_id)
+        SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 100)""",
+    "text_search_phrase": _SPOTS + """ SELECT a.doc_id, count(*) AS hits FROM spots a JOIN spots b
+        ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.word = 'of' AND b.word = 'the' GROUP BY a.doc_id""",
     "text_index": _WORDS + " SELECT word, doc_id, hits FROM idx",
     "errors_context": f"""{_S12}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us, num) AS n FROM se)
         SELECT e.session_id, e.event_id AS error_id, c.n - e.n AS position, c.event_id FROM n e JOIN n c
@@ -278,6 +288,7 @@ ORACLES = {
     "vector_dims": "SELECT vec_id, label <> 0 AS ok FROM embeddings",
     "noop_embed": "SELECT doc_id, 384 AS dims, CAST(0 AS DOUBLE) AS total FROM documents",
     "embed_texts": _EMBED,
+    "embed_texts_once": _EMBED,
     "retention_10d": f"WITH {_EVENTS} SELECT event_id, us AS ts_us FROM agent_events WHERE us >= {_AS_OF_US} - 864000000000",
     "stream_otlp_traces": f"{_SPANS} SELECT {_SPAN_COLUMNS} FROM spans",
     "stream_otlp_logs": f"""SELECT * EXCLUDE (event_id) REPLACE (
@@ -316,5 +327,6 @@ ORACLES = {
     "stream_trace_relink": _CORRELATE,
 }
 for _name, _same in (("agents_merged_by_time", "agents_merged"), ("retention_removed", "retention_10d"), ("memory_compacted", "memory_entries"),
-                     ("stream_agent_sessions", "agents_merged")):
+                     ("stream_agent_sessions", "agents_merged"), ("memory_search_indexed", "memory_search_top"),
+                     ("memory_recall_indexed", "memory_recall")):
     ORACLES[_name] = ORACLES[_same]

@@ -17,8 +17,9 @@ from tracewell.functions.scalars import default_agent_id, is_valid_agent_id, log
 from tracewell.functions.vectors import cosine, noop_vector
 from tracewell.operators.checkpoints import work_dir
 from tracewell.operators.edges import caused_by, enrich_calls, followed_by, owns, spawned_sessions, tool_patterns, touched
-from tracewell.operators.embedding import check_dims, embed
+from tracewell.operators.embedding import check_dims, embed, embed_once
 from tracewell.operators.memory import MemoryLog, list_memory, memory_view, visible
+from tracewell.operators.ranked_text import RankedIndex
 from tracewell.operators.retention import apply_retention, enforce_retention
 from tracewell.operators.rollups import (
     agent_project_activity, agent_rollup, agent_totals, agents_of_owners, merge_agents, merge_owner_totals, new_agents, owner_totals,
@@ -28,10 +29,11 @@ from tracewell.operators.search import (
     errors_with_context, file_blame, list_sessions, list_system, search_events, timeline,
 )
 from tracewell.operators.sessions import attach_sessions, idle_sessions, session_ordinal, session_rollup, sessionize
-from tracewell.operators.similarity import memory_search, recall
+from tracewell.operators.similarity import memory_id, memory_search, recall
 from tracewell.operators.summaries import session_detail, session_summary, summary_items, summary_lists
 from tracewell.operators.text_index import build_text_index, search_text_index, text_search, write_text_index
 from tracewell.operators.traces import correlate, event_layers, spawn_edges, waterfall
+from tracewell.operators.vector_index import VectorIndex
 from tracewell.plans import workload as w
 from tracewell.sources.agent_events import read_agent_events
 from tracewell.sources.hooks import read_hook_events
@@ -48,6 +50,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 HALF_DAY = timedelta(hours=12)
 TEXT_QUERY = "The, and!"
+RANKED_QUERY = "The and of"
+PHRASE_QUERY = "of the"
 
 
 def query(fn: Query) -> Query:
@@ -334,6 +338,26 @@ def text_search_index(spark, sf):
     return search_text_index(spark.read.parquet(path), "doc_id", TEXT_QUERY)
 
 
+def _ranked_index(spark, sf):
+    """The documents in two segments, one of them delivered twice, merged."""
+    index = RankedIndex(spark, work_dir(spark))
+    docs = w.table(spark, sf, "documents")
+    for part in (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 0"), docs):
+        index.add(part, "doc_id", "text")
+    index.merge()
+    return index
+
+
+@query
+def text_search_ranked(spark, sf):
+    return _ranked_index(spark, sf).search(RANKED_QUERY, 100).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query
+def text_search_phrase(spark, sf):
+    return _ranked_index(spark, sf).phrase(PHRASE_QUERY).select(F.col("id").alias("doc_id"), "hits")
+
+
 @query
 def text_index(spark, sf):
     return build_text_index(w.table(spark, sf, "documents"), "doc_id", "text").select("word", "doc_id", "hits")
@@ -450,6 +474,23 @@ def memory_recall(spark, sf):
     return hits.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", F.col("id").cast("bigint").alias("id"), "similarity")
 
 
+@query
+def memory_search_indexed(spark, sf):
+    """As ``memory_search_top``, through a stored index of the entries that the agent may see."""
+    seen = visible(_memory(spark, sf), "agent-1").withColumn("id", memory_id())
+    index = VectorIndex(spark, work_dir(spark)).build(seen.select("id", F.col("embedding").alias("vector")))
+    hits = index.search(_vectors(spark, sf, "query_id"), k=5).join(seen.drop("embedding"), "id")
+    return hits.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", "similarity", "agent_id", "key", "value")
+
+
+@query
+def memory_recall_indexed(spark, sf):
+    """As ``memory_recall``, through a stored index."""
+    index = VectorIndex(spark, work_dir(spark)).build(_vectors(spark, sf, "id"))
+    hits = index.search(_vectors(spark, sf, "query_id"), k=3, skip_self=True)
+    return hits.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", F.col("id").cast("bigint").alias("id"), "similarity")
+
+
 @query
 def cosine_self(spark, sf):
     v = w.table(spark, sf, "embeddings")
@@ -484,6 +525,16 @@ def embed_texts(spark, sf):
     return docs.select("doc_id", *[F.col("embedding")[i].cast("bigint").alias(f"v{i}") for i in range(3)])
 
 
+@query
+def embed_texts_once(spark, sf):
+    """Embedded twice: the second time every vector comes from the store."""
+    store = VersionedTable(spark, work_dir(spark))
+    docs = w.table(spark, sf, "documents").select("doc_id", "text")
+    for _ in range(2):
+        found = embed_once(docs, "text", store, load_text_stats, 3)
+    return found.select("doc_id", *[F.col("embedding")[i].cast("bigint").alias(f"v{i}") for i in range(3)])
+
+
 @query
 def retention_10d(spark, sf):
     return apply_retention(w.agent_events(spark, sf), w.as_of(), days=10).select("event_id", us("ts"))
