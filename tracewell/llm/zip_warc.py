@@ -22,6 +22,8 @@ from tracewell.operators.checkpoints import work_dir
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 64 << 20
+#: Bytes of records that a task reads back: at most, and at least where every core has work.
+FETCH_BYTES, LEAST_FETCH_BYTES = 128 << 20, 4 << 20
 EPOCH = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed values of the ZIP format: signatures and sizes of its records.
@@ -139,8 +141,10 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_
     payload = whole_text(html).cast("binary")
     rows = pages.select(F.col(page_id).alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     large = F.octet_length("payload") >= least_bytes
-    keyed = rows.withColumn("same", F.when(large, F.sha2("payload", 256)))
-    groups = keyed.where("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # small payloads are never compared: keys of their own spread them over the tasks of the join
+    small = F.concat(F.lit("small "), F.xxhash64("id", "url").cast("string"))
+    keyed = rows.withColumn("same", F.when(large, F.sha2("payload", 256)).otherwise(small))
+    groups = keyed.where(large).groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = stored(groups.where("n > 1 AND first IS NOT NULL").select("same", "first"))
     # the groups grow with the input: never broadcast, the same plan at every size
     judged = keyed.join(firsts.hint("merge"), "same", "left").select(
@@ -220,7 +224,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
     response is checked against its digest. Revisits have no payload.
     """
     ranges = stored(record_ranges(archives))
-    placed = ranges.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    # by the bytes to fetch, not by those of the ranges, which would leave the records of many packages to one task
+    stated = ranges.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    share = min(FETCH_BYTES, max(LEAST_FETCH_BYTES, stated // cores))
+    placed = ranges.repartitionByRange(stated // share + 1, "path", "offset").sortWithinPartitions("path", "offset")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, opened = None, None
