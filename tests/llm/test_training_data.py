@@ -125,6 +125,16 @@ def test_directory_splits_only_full_buckets(spark, documents):
     assert index.count() == 50 and index.where("group_size = 4 AND chain = 1").count() == 50
 
 
+def test_index_of_hot_copies_leaves_no_names(spark, documents):
+    before = {t.name for t in spark.catalog.listTables()}
+    hot = documents([(k, "same " * (1 + (k == 77)) if k % 3 else f"t{k}") for k in range(900)])
+    sizes = sorted(r.group_size for r in build_index(hot, capacity=4).collect())
+    assert sizes == [1] * 301 + [599]  # the text of 77 is longer
+    kept = {r.doc_id for r in exact_dedup(hot, capacity=4).where("kept").collect()}
+    assert kept == {k for k in range(900) if k % 3 == 0} | {1, 77}
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 # line chunks
 
 def chunked(text):

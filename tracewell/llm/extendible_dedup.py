@@ -7,10 +7,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import stored, whole_number, whole_text
+from tracewell.llm.tables import bucketed, discard, stored, whole_number, whole_text
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
+#: Entries that the copies of one text may leave in the files of their slot.
+SPREAD = 8
 _SIGN = 2**63
 
 
@@ -34,33 +36,41 @@ def directory(hashes: DataFrame, capacity: int) -> DataFrame:
             .select("slot", "depth", F.expr(f"shiftright(slot, {depth} - depth)").alias("bucket"), F.lit(depth).alias("global_depth")))
 
 
-def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 65536) -> DataFrame:
-    """The stored index: one row per distinct normalised text, in bucket order.
+def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 4096) -> DataFrame:
+    """The stored index: one row per distinct normalised text.
 
     Columns: bucket, depth, h, chain (place among different texts of one
-    hash), text_sha256, keep_id, group_size. Equal texts are found by
-    grouping on hash and whole text, so bytes decide and not the hash; copies
-    meet in the map-side step first, so a text held by a third of all rows
-    reaches its owner as one row per task. The index is range-partitioned by
-    hash: a task owns the buckets of its range.
+    hash), text_sha256, keep_id, group_size.
+
+    The directory comes first, from the distinct hashes alone; its depth says
+    how many slots the files have. Texts are then written once more as entries
+    of their slot's files. Copies are combined before they are written, apart by
+    ``SPREAD`` parts of the ids, so a text held by a third of all rows
+    reaches the files as at most that many entries, and never meets in one
+    task before. An owner task reads the files of its slots and settles there,
+    without another shuffle, what equals what: entries of one hash are
+    compared by their bytes, different ones are chained.
     """
     norm = F.regexp_replace(whole_text(text), WHITE_SPACE, "")
     # longest original first, then smallest id: one fixed-width number, so that the aggregation hashes and never sorts
     rank = (F.char_length(whole_text(text)).cast("decimal(38,0)") * whole_number(2**64)
             + (whole_number(_SIGN - 1) - F.col(doc_id))).cast("decimal(38,0)")
-    rows = docs.select(norm.alias("norm"), rank.alias("rank")).withColumn("h", F.xxhash64("norm"))
-    groups = rows.groupBy("h", "norm").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("group_size"))
-    keep = (whole_number(_SIGN - 1) - F.col("rank") % whole_number(2**64)).cast("bigint")
-    texts = stored(groups.select("h", F.sha2("norm", 256).alias("text_sha256"), keep.alias("keep_id"), "group_size"))
-    slots = directory(texts.select("h").distinct(), capacity)
+    slots = stored(directory(stored(docs.select(F.xxhash64(norm).alias("h")).distinct()), capacity))
     depth = slots.agg(F.max("global_depth")).first()[0] or 1
-    placed = (texts.join(slots.drop("global_depth"), F.shiftrightunsigned(texts.h, 64 - depth) == slots.slot)
-              .repartitionByRange("h").sortWithinPartitions("h"))
-    chain = F.row_number().over(Window.partitionBy("h").orderBy("text_sha256"))
-    return stored(placed.select("bucket", "depth", "h", chain.alias("chain"), "text_sha256", "keep_id", "group_size"))
+    rows = docs.select(norm.alias("norm"), rank.alias("rank"), F.pmod(F.xxhash64(doc_id), F.lit(SPREAD)).alias("part"))
+    rows = rows.withColumn("h", F.xxhash64("norm")).withColumn("slot", F.shiftrightunsigned("h", 64 - depth))
+    entries = bucketed(rows.groupBy("slot", "h", "norm", "part").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("n")).drop("part"), "slot")
+    owned = entries.groupBy("slot", "h", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("group_size"))
+    keep = (whole_number(_SIGN - 1) - F.col("rank") % whole_number(2**64)).cast("bigint")
+    texts = owned.select("slot", "h", F.sha2("norm", 256).alias("text_sha256"), keep.alias("keep_id"), "group_size")
+    chain = F.row_number().over(Window.partitionBy("slot", "h").orderBy("text_sha256"))
+    index = texts.withColumn("chain", chain).join(slots.drop("global_depth"), "slot")
+    index = stored(index.select("bucket", "depth", "h", "chain", "text_sha256", "keep_id", "group_size"))
+    discard(entries, slots)
+    return index
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 65536) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 4096) -> DataFrame:
     """Add keep_id, group_size, kept and text_sha256 to every row.
 
     Texts are equal when identical without the characters of ``WHITE_SPACE``;

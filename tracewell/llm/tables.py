@@ -18,11 +18,16 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Like ``stored``, but divided by ``key``, so that later joins on it move only their other side."""
+    """Like ``stored``, but divided by ``key``: joins and groups on it find their rows together, without a shuffle.
+
+    Spark writes such files only under a name; the name goes at once, the files stay for the returned table.
+    """
     spark = df.sparkSession
     parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"t_{uuid.uuid4().hex}"
     df.repartition(parts, key).write.bucketBy(parts, key).option("path", work_dir(spark)).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
