@@ -25,6 +25,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from its files, of which only the columns in use are read."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from there."""
     context = df.sparkSession.sparkContext

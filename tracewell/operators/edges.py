@@ -29,7 +29,10 @@ def touched(events: DataFrame) -> DataFrame:
 
 
 def span_edges(events: DataFrame) -> DataFrame:
-    """Parent and child events by span, within a trace; empty ids name nothing."""
+    """Parent and child events by span, within a trace; empty ids name nothing.
+
+    Takes agent events, system events, or both as ``event_layers`` gives them.
+    """
     child = events.where((F.col("trace_id") != "") & (F.col("parent_span_id") != "")).select(
         "trace_id", F.col("parent_span_id").alias("span_id"), F.col("event_id").alias("child_id"))
     parent = events.where((F.col("trace_id") != "") & (F.col("span_id") != "")).select("trace_id", "span_id", F.col("event_id").alias("parent_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.checkpoints import cut_lineage
+from tracewell.operators.checkpoints import written
 
 
 def _has_trace(trace_id: Column) -> Column:
@@ -39,23 +39,26 @@ def event_layers(agent: DataFrame, system: DataFrame) -> DataFrame:
 def span_depths(nodes: DataFrame) -> DataFrame:
     """Depth of every ``(trace_id, span_id)`` in its tree, by pointer doubling.
 
-    Each round joins every span to the ancestor it has reached and doubles the
+    Each round joins every open span to the ancestor it has reached and doubles the
     distance: a tree of depth d takes log2(d) rounds, whatever its width. A span
-    whose parent is unknown is a root. Rounds end when none is open, or when a
-    round closes none: what is then left hangs in a cycle and has depth NULL.
+    whose parent is unknown is a root. Only spans that are still open are written
+    again; settled ones stay where they are. Rounds end when none is open, or
+    when a round closes none: what is then left hangs in a cycle and has depth NULL.
     """
     keys = ["trace_id", "span_id"]
     known = nodes.select("trace_id", F.col("span_id").alias("_up"), F.lit(True).alias("_known"))
-    state = nodes.withColumnRenamed("parent_span_id", "_up").join(known, ["trace_id", "_up"], "left").select(
-        *keys, F.when(F.col("_known"), F.col("_up")).alias("_up"), F.when(F.col("_known"), 1).otherwise(0).alias("depth"))
-    state = cut_lineage(state)
-    open_before, still_open = None, state.where(F.col("_up").isNotNull()).count()
+    state = written(nodes.withColumnRenamed("parent_span_id", "_up").join(known, ["trace_id", "_up"], "left").select(
+        *keys, F.when(F.col("_known"), F.col("_up")).alias("_up"), F.when(F.col("_known"), 1).otherwise(0).alias("depth")))
+    settled, waiting = state.where(F.col("_up").isNull()), state.where(F.col("_up").isNotNull())
+    open_before, still_open = None, waiting.count()
     while still_open and still_open != open_before:
-        reached = state.select("trace_id", F.col("span_id").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"))
-        state = cut_lineage(state.join(reached, ["trace_id", "_up"], "left").select(
+        reached = settled.unionByName(waiting).select(
+            "trace_id", F.col("span_id").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"))
+        state = written(waiting.join(reached, ["trace_id", "_up"], "left").select(
             *keys, F.col("_next").alias("_up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
-        open_before, still_open = still_open, state.where(F.col("_up").isNotNull()).count()
-    return state.select(*keys, F.when(F.col("_up").isNull(), F.col("depth")).alias("depth"))
+        settled, waiting = settled.unionByName(state.where(F.col("_up").isNull())), state.where(F.col("_up").isNotNull())
+        open_before, still_open = still_open, waiting.count()
+    return settled.unionByName(waiting).select(*keys, F.when(F.col("_up").isNull(), F.col("depth")).alias("depth"))
 
 
 def waterfall(agent: DataFrame, system: DataFrame, trace_id: str | None = None) -> DataFrame:

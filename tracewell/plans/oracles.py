@@ -325,6 +325,31 @@ ORACLES = {
           started_at_us, CASE WHEN done THEN last_event_at_us ELSE last_event_at_us + {_12H} END AS ended_at_us, last_event_at_us, event_count
         FROM judged WHERE CASE WHEN done THEN last_event_at_us < w ELSE last_event_at_us + {_12H} < w END""",
     "stream_trace_relink": _CORRELATE,
+    "edges_spans": f"""WITH {_EVENTS}, {_SYSTEM}, x AS (SELECT event_id, trace_id, span_id, parent_span_id FROM agent_events
+          UNION ALL SELECT event_id, trace_id, span_id, parent_span_id FROM system_events)
+        SELECT c.trace_id, p.event_id AS parent_id, c.event_id AS child_id FROM x c JOIN x p
+        ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE c.trace_id <> '' AND p.span_id <> ''""",
+    "calls_enriched_mixed": f"""WITH {_EVENTS} SELECT event_id,
+        CASE WHEN tool_type = 'mcp' AND num % 5 <> 0 THEN 'git' END AS mcp_server, num % 5 = 0 AS is_subagent,
+        CASE WHEN num % 7 = 0 AND severity = 'info' THEN 'error' ELSE severity END AS severity FROM agent_events""",
+    "hybrid_retrieval": f"""WITH RECURSIVE {_EVENTS},
+        cause AS (SELECT p.event_id AS a, c.event_id AS b FROM agent_events c JOIN agent_events p
+          ON c.spawned_by = p.event_id OR (c.trace_id = p.trace_id AND c.parent_span_id = p.span_id)),
+        edge AS (SELECT a, b FROM cause WHERE a <> b UNION SELECT b, a FROM cause WHERE a <> b),
+        walk AS (SELECT CAST(vec_id AS VARCHAR) AS query, CAST(vec_id AS VARCHAR) AS id, 0 AS hops FROM embeddings
+          UNION SELECT query, b, hops + 1 FROM walk JOIN edge ON a = id WHERE hops < 3),
+        near AS (SELECT query, id, min(hops) AS hops FROM walk GROUP BY ALL),
+        scored AS ({_VECTORS.format(id="CAST(c.vec_id AS VARCHAR) AS id")} FROM embeddings q, embeddings c, agent_events e
+          WHERE q.vec_id <> c.vec_id AND e.num = c.vec_id AND e.severity <> 'error'),
+        alike AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS by_vector FROM scored),
+        linked AS (SELECT s.query_id, s.id, n.hops, row_number() OVER (PARTITION BY s.query_id ORDER BY n.hops, s.sim DESC, s.id) AS by_hops
+          FROM scored s JOIN near n ON n.query = CAST(s.query_id AS VARCHAR) AND n.id = s.id),
+        fused AS (SELECT a.query_id, a.id, CASE WHEN by_hops <= 50 THEN hops END AS hops, a.sim,
+            round(coalesce(CASE WHEN by_hops <= 50 THEN 1.0::DOUBLE / (60 + by_hops) END, 0) +
+                  coalesce(CASE WHEN by_vector <= 50 THEN 1.0::DOUBLE / (60 + by_vector) END, 0), 12) AS score
+          FROM alike a LEFT JOIN linked l ON l.query_id = a.query_id AND l.id = a.id WHERE by_vector <= 50 OR by_hops <= 50),
+        best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused)
+        SELECT query_id, rank, id, hops, sim AS similarity, score FROM best WHERE rank <= 10""",
 }
 for _name, _same in (("agents_merged_by_time", "agents_merged"), ("retention_removed", "retention_10d"), ("memory_compacted", "memory_entries"),
                      ("stream_agent_sessions", "agents_merged"), ("memory_search_indexed", "memory_search_top"),

@@ -16,11 +16,14 @@ from tracewell.functions.redaction import redact_json
 from tracewell.functions.scalars import default_agent_id, is_valid_agent_id, log_severity, mask_secret, mask_url
 from tracewell.functions.vectors import cosine, noop_vector
 from tracewell.operators.checkpoints import work_dir
-from tracewell.operators.edges import caused_by, enrich_calls, followed_by, owns, spawned_sessions, tool_patterns, touched
+from tracewell.operators.edges import (
+    caused_by, enrich_calls, followed_by, owns, span_edges, spawned_sessions, tool_patterns, touched,
+)
 from tracewell.operators.embedding import check_dims, embed, embed_once
 from tracewell.operators.memory import MemoryLog, list_memory, memory_view, visible
 from tracewell.operators.ranked_text import RankedIndex
 from tracewell.operators.retention import apply_retention, enforce_retention
+from tracewell.operators.retrieval import both_ways, hybrid_search
 from tracewell.operators.rollups import (
     agent_project_activity, agent_rollup, agent_totals, agents_of_owners, merge_agents, merge_owner_totals, new_agents, owner_totals,
     session_files, session_tools,
@@ -735,3 +738,31 @@ def stream_trace_relink(spark, sf):
         rows.write.mode("append").parquet(source)
         linker.start(_file_stream(spark, source, system.schema), checkpoint, **NOW).awaitTermination()
     return linker.linked().select("event_id", "trace_id", "session_id")
+
+
+@query
+def edges_spans(spark, sf):
+    """Parent and child by span over agent and system events, across the two layers as well."""
+    return span_edges(event_layers(w.agent_events(spark, sf), w.system_events(spark, sf)))
+
+
+@query
+def calls_enriched_mixed(spark, sf):
+    """Calls of which some start a sub-agent and some report an error in their output."""
+    number = F.col("event_id").cast("bigint")
+    calls = w.agent_events(spark, sf).withColumns({
+        "tool_name": F.when(number % 5 == 0, "Agent").otherwise(F.col("tool_name")),
+        "result": F.when(number % 7 == 0, '{"error":{"code":1}}').when(number % 7 == 1, "not JSON").when(number % 7 == 2, None).otherwise(F.col("result")),
+    })
+    return enrich_calls(calls).select("event_id", "mcp_server", "is_subagent", "severity")
+
+
+@query
+def hybrid_retrieval(spark, sf):
+    """For every vector as a query: events without an error, alike or within three causes of the event of that number."""
+    events, vectors = w.agent_events(spark, sf), _vectors(spark, sf, "id")
+    nodes = search_events(events, severities=["info", "warn"]).join(vectors, F.col("event_id") == F.col("id")).select("id", "vector")
+    found = hybrid_search(
+        vectors.withColumnRenamed("id", "query_id"), vectors.select(F.col("id").alias("query_id"), "id"),
+        both_ways(caused_by(events), "parent_id", "child_id"), nodes, hops=3, k=10)
+    return found.withColumn("query_id", F.col("query_id").cast("bigint"))
