@@ -9,6 +9,7 @@ from datetime import datetime, timedelta, timezone
 import numpy as np
 import pytest
 
+from tracewell.operators import vector_index
 from tracewell.operators.embedding import embed, embed_once
 from tracewell.operators.ranked_text import RankedIndex
 from tracewell.operators.sessions import attach_sessions
@@ -55,6 +56,25 @@ def test_vector_index_skips_cells(spark, tmp_path):
     assert scored < 0.25 * len(rows) ** 2
 
 
+def test_vector_index_copies_no_vector_a_cell(spark, tmp_path, monkeypatch):
+    """Random vectors meet nearly every cell; what is written stays in proportion to the queries."""
+    rows = [(f"v{i}", row.tolist()) for i, row in enumerate(np.random.default_rng(8).normal(size=(600, 32)))]
+    candidates = spark.createDataFrame(rows, "id string, vector array<double>")
+    queries = candidates.selectExpr("id AS query_id", "vector")
+    index = VectorIndex(spark, str(tmp_path / "index")).build(candidates, cells=40)
+    written = []
+
+    def counted(df, stored=vector_index._stored):
+        out = stored(df)
+        written.append(out.count() if "vector" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(vector_index, "_stored", counted)
+    found, probes = index.search_with_probes(queries, 3, True)
+    assert hits(found) == hits(nearest(queries, candidates, 3, True))
+    assert probes.count() > 20 * len(rows) and sum(written) <= 5 * len(rows)
+
+
 def test_vector_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "id string, vector array<double>")
     some = spark.createDataFrame([("a", [1.0, 0.0])], "query_id string, vector array<double>")

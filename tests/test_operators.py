@@ -1,5 +1,6 @@
 """Trace, memory, similarity, search and text operators on small inputs."""
 
+import math
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -15,7 +16,7 @@ from tracewell.operators.ordering import number_rows
 from tracewell.operators.retention import apply_retention
 from tracewell.operators.rollups import agent_rollup, merge_agents, new_agents, valid_agents
 from tracewell.operators.search import errors_with_context, newest_first
-from tracewell.operators.similarity import memory_search, nearest
+from tracewell.operators.similarity import BLOCK_VALUES, block_count, memory_search, nearest
 from tracewell.operators.text_index import build_text_index, search_text_index, text_search, write_text_index
 from tracewell.operators.traces import correlate, span_depths, waterfall
 
@@ -132,6 +133,31 @@ def test_nearest(spark, skip_self, monkeypatch):
         assert [s for _, s in r] == pytest.approx([s for _, s in expected[q]], abs=1e-9)
 
 
+def test_nearest_copies_candidates_once_a_block(spark):
+    """Blocks follow the tasks at once and the size that a task may hold, not the number of queries."""
+    queries = spark.range(20_000).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    assert block_count(queries, 3) == max(2, spark.sparkContext.defaultParallelism)
+    assert block_count(queries, 1 << 10) == math.ceil(20_000 * (1 << 10) / BLOCK_VALUES)
+
+
+def test_nearest_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr("tracewell.operators.similarity.QUERY_BLOCK", 16)
+    rng = np.random.default_rng(9)
+    rows = [(f"c{i:04d}", rng.integers(-2, 3, size=3).astype(float).tolist()) for i in range(900)]  # many ties
+    rows += [("c0007", rows[8][1]), ("hole", [None, 1.0, 1.0])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        cdf = spark.createDataFrame(rows, "id string, vector array<double>")
+        found = nearest(spark.createDataFrame(rows[:60], "query_id string, vector array<double>"), cdf, 5, True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = brute(rows[:60], rows[:-1], 5, True)
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: [c for c, _ in r] for q, r in expected.items()}
+
+
 def test_memory_search_respects_visibility(spark):
     memory = spark.createDataFrame(
         [("a", "k", "mine", False, [1.0, 0.0]), ("b", "k", "hidden", False, [1.0, 0.0]), ("b", "l", "shared", True, [0.0, 1.0])],
