@@ -14,6 +14,7 @@ from tracewell.operators.embedding import embed, embed_once
 from tracewell.operators.ranked_text import RankedIndex
 from tracewell.operators.sessions import attach_sessions
 from tracewell.operators.similarity import nearest
+from tracewell.operators.text_index import build_text_index, search_text_index, write_text_index
 from tracewell.operators.vector_index import VectorIndex
 from tracewell.sources.versions import VersionedTable
 
@@ -134,6 +135,30 @@ def test_ranked_and_phrase_search(spark, tmp_path):
     check()
 
 
+def test_segments_are_not_shuffled_by_word(spark, tmp_path):
+    """A word is one row per batch of texts, and adding a segment moves texts only."""
+    rows = [(i, "the sea the sky " + f"own{i}") for i in range(400)]
+    index = RankedIndex(spark, str(tmp_path / "index"))
+    index.add(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
+    stored = index.table.read()
+    assert stored.where("word = 'sea'").count() <= 4 and stored.where("word = 'sea'").selectExpr("sum(size(ids))").first()[0] == 400
+    assert {r.id: r.hits for r in index.phrase("the sea the").collect()} == {i: 1 for i in range(400)}
+
+
+def test_stored_words_are_blocks(spark, tmp_path):
+    rows = [(i % 300, "The sea, the sky") for i in range(400)] + [(None, "the sea"), (None, "sea"), (900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    built = build_text_index(docs, "doc_id", "text")
+    path = str(tmp_path / "words")
+    for _ in range(2):
+        write_text_index(built, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() < built.count()
+    expected = {i: 6 if i < 100 else 3 for i in range(300)} | {None: 3}
+    for index in (built, stored):
+        assert {r.doc_id: r.hits for r in search_text_index(index, "doc_id", "sea the").collect()} == expected
+
+
 def test_texts_are_embedded_once(spark, tmp_path):
     store = VersionedTable(spark, str(tmp_path / "vectors"))
 

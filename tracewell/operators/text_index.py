@@ -8,7 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.postings import packed_rows
+
 BUCKETS = 256
+#: Parts a shuffle partition that texts are dealt to.
+PARTS = 4
 
 
 def words(text: Column) -> Column:
@@ -39,7 +43,9 @@ def build_text_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     One row per word and text rather than one list per word: a word found
     everywhere has no list that must fit in memory.
     """
-    pairs = docs.select(id_col, F.explode(words(F.col(text_col))).alias("word"))
+    # texts are smaller than their words: they are dealt by id, in parts small enough for the words of one to be counted in memory
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = docs.select(id_col, text_col).repartition(parts, id_col).select(id_col, F.explode(words(F.col(text_col))).alias("word"))
     return pairs.groupBy("word", id_col).agg(F.count(F.lit(1)).alias("hits")) \
         .select(bucket_of(F.col("word")).alias("bucket"), "word", id_col, "hits")
 
@@ -49,17 +55,23 @@ def bucket_of(word: Column) -> Column:
 
 
 def write_text_index(index: DataFrame, path: str) -> None:
-    """Store by bucket, sorted by word, so that a lookup reads one small part of few files."""
-    index.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").mode("append").parquet(path)
+    """Store by bucket, sorted by word, so that a lookup reads one small part of few files; rows ``bucket, word, ids,
+    hits`` hold a word's texts of one batch."""
+    id_col = next(c for c in index.columns if c not in ("bucket", "word", "hits"))
+    blocks = packed_rows(index, id_col).hint("rebalance", "bucket").sortWithinPartitions("bucket", "word")
+    blocks.write.partitionBy("bucket").mode("append").option("compression", "zstd").parquet(path)
 
 
 def search_text_index(index: DataFrame, id_col: str, query: str | Sequence[str]) -> DataFrame:
-    """As ``text_search``, from the index. Rows stored more than once, by a repeated or resumed write, count once."""
+    """As ``text_search``, from an index as it was built or stored. Rows stored more than once, by a repeated or resumed write, count once."""
     wanted = _wanted(query)
     # The buckets are constant expressions, so that the scan prunes partitions.
     in_bucket = F.lit(False)
     for w in wanted:
         in_bucket = in_bucket | (F.col("bucket") == bucket_of(F.lit(w)))
-    found = index.where(in_bucket & F.col("word").isin(wanted)).groupBy(id_col, "word").agg(F.max("hits").alias("hits"))
+    found = index.where(in_bucket & F.col("word").isin(wanted))
+    if "ids" in index.columns:
+        found = found.select("word", F.inline(F.arrays_zip("ids", "hits")).alias(id_col, "hits"))
+    found = found.groupBy(id_col, "word").agg(F.max("hits").alias("hits"))
     return found.groupBy(id_col).agg(F.count(F.lit(1)).alias("_words"), F.sum("hits").alias("hits")) \
         .where(F.col("_words") == len(wanted)).select(id_col, "hits")

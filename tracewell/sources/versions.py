@@ -89,11 +89,11 @@ class VersionedTable:
 
     # changes
 
-    def write(self, df: DataFrame, partition_by: str | None = None) -> list[str]:
+    def write(self, df: DataFrame, partition_by: str | None = None, **options: str) -> list[str]:
         """Write rows to new folders, one per value of ``partition_by``; nothing reads them before a commit."""
         name = f"{WRITE}={uuid.uuid4().hex}"
         writer = df.write.partitionBy(partition_by) if partition_by else df.write
-        writer.parquet(f"{self.root}/data/{name}")
+        writer.options(**options).parquet(f"{self.root}/data/{name}")
         if partition_by is None:
             return [name]
         return [f"{name}/{n}" for n in self._names(f"data/{name}") if "=" in n]
