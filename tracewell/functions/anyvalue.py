@@ -15,7 +15,7 @@ import json
 import math
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -140,9 +140,15 @@ def _finish_one(text: str) -> str:
         return WRONG
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _finish_list(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda row: [_finish_one(t) for t in row])
+#: Payloads whose odd lists are Python objects at one time; a batch may hold thousands.
+FINISHED_TOGETHER = 64
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _finish_list(texts: pa.Array) -> pa.Array:
+    parts = [pa.array([[_finish_one(t) for t in row] for row in texts.slice(start, FINISHED_TOGETHER).to_pylist()], pa.list_(pa.string()))
+             for start in range(0, len(texts), FINISHED_TOGETHER)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
 
 # Keeps the optimizer from copying the call (and all below it) into a filter.
