@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Words that are packed together; a longer text is packed alone.
-PACKED_WORDS = 1 << 20
+PACKED_WORDS = 1 << 18
 
 
 def _lists(starts: np.ndarray, values) -> pa.Array:
