@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,17 +21,28 @@ SENTENCE_CUT, BLIND_CUT = 8.0, 48.0
 #: Tokens without a boundary after which cuts inside a sentence are offered, and their distance.
 LONG_SENTENCE, BLIND_STEP = 96, 48
 BATCH_TOKENS = 4_000_000
-CACHED_WORDS = 400_000
+#: Known words of a worker, and characters of text whose words are looked up together.
+CACHED_WORDS, TEXT_TOGETHER = 600_000, 4_000_000
+
+
+class _Numbers(dict):
+    """Numbers of words, given in the order in which they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 class WordTokens:
     """Ids of texts by a ``tokenizers`` file whose words do not depend on the white space around them.
 
-    Texts are cut at spaces and line feeds; each part is looked up. Parts of
-    plain letters, digits and marks are cut further, by the file's own
-    pattern, into words that the library encodes many at a time (their last
-    token carries the word-end mark); any other part goes to the library as
-    it is. The store of known words starts afresh when full.
+    Texts of plain letters, digits and marks are cut by the file's own pattern
+    into words; every word has a number, and the ids of numbered words are
+    gathered for many texts at once. The library encodes only words that have
+    no number yet, many at a time and already normalised (their last token
+    carries the word-end mark). Any other text is cut at spaces and line feeds;
+    its parts that are not plain go to the library as they are. The store of
+    known words starts afresh when full.
     """
 
     _stores: dict[str, WordTokens] = {}
@@ -42,52 +54,96 @@ class WordTokens:
             cls._stores[path] = cls(path)
         return cls._stores[path]
 
-    PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+").findall
+    _MARKS = r"\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff"
+    PLAIN = re.compile(rf"[{_MARKS}]+").fullmatch
+    PLAIN_TEXT = re.compile(rf"[ \n{_MARKS}]*").fullmatch
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \na-z\xdf-\xf6\xf8-\xff0-9]+").findall
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+        self.tokenizer, self.of_words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # words that are cut and in lower case already pass neither the normaliser nor the pattern again
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocabulary.values()) + 1
         self.word_end, self.sentence_end = np.zeros(size, bool), np.zeros(size, bool)
         for token, i in vocabulary.items():
             self.word_end[i] = token.endswith("</w>")
             self.sentence_end[i] = token.endswith("</w>") and token[0] in ".!?"
-        self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, parts: list[str]) -> None:
-        """Put the ids of parts into the store."""
-        split = {p: self.WORDS(p.lower()) for p in parts if "<|" not in p and self.PLAIN(p)}
-        words = list({w for ws in split.values() for w in ws if w not in self.words})
-        for at in range(0, len(words), 1000):
-            some = words[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) != len(some):
-                self.words.update((w, self._raw(w)) for w in some)
-            else:
-                packed = ids.tobytes()
-                self.words.update(zip(some, (packed[a:b] for a, b in zip([0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist()))))
-        for p in parts:
-            self.parts[p] = b"".join([self.words[w] for w in split[p]]) if p in split else self._raw(p)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.stops = np.zeros(0, "<u4"), np.zeros(1, "i8")  # of number i: ids[stops[i]:stops[i + 1]]
+
+    def _raw(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _is_plain(self, part: str) -> bool:
+        return "<|" not in part and self.PLAIN(part) is not None
+
+    def _words(self, text: str) -> list[str]:
+        """Plain words in lower case, and parts that are not plain; no part is also a word."""
+        if "<|" not in text and self.PLAIN_TEXT(text):
+            return self.WORDS(text.lower())
+        out = []
+        for part in text.replace("\n", " ").split(" "):
+            if self._is_plain(part):
+                out += self.WORDS(part.lower())
+            elif part:
+                out.append(part)
+        return out
+
+    def _learn(self) -> None:
+        """Add the ids of words that have a number but no ids."""
+        new = list(islice(self.numbers, len(self.stops) - 1, None))
+        ids, sizes = [self.ids], []
+        for at in range(0, len(new), 1000):
+            some = new[at:at + 1000]
+            if all(map(self._is_plain, some)):
+                joined = np.array(self.of_words.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+                stops = np.flatnonzero(self.word_end[joined]) + 1
+                if len(stops) == len(some):
+                    ids.append(joined)
+                    sizes.append(np.diff(stops, prepend=0))
+                    continue
+            each = [self._raw(w) for w in some]
+            ids += each
+            sizes.append(np.array([len(x) for x in each], "i8"))
+        self.ids = np.concatenate(ids)
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(np.concatenate([*sizes, np.zeros(0, "i8")]))])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        if len(self.numbers) > CACHED_WORDS:
+            self._forget()
+        number = self.numbers.__getitem__
+        found = [np.fromiter(map(number, words), "i8", len(words)) for words in map(self._words, texts)]
+        self._learn()
+        numbers = np.concatenate([*found, np.zeros(0, "i8")])
+        sizes = np.diff(self.stops)[numbers]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.ids[np.arange(stops[-1]) + np.repeat(self.stops[numbers] - stops[:-1], sizes)].tobytes()
+        ends = (4 * stops[np.cumsum([0, *map(len, found)])]).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        known = self.parts
-        missing = {p for p in set(parts) if p not in known}
-        if missing:
-            if len(known) > CACHED_WORDS:
-                self.parts = {"": b""}
-                missing = set(parts) - {""}
-            if len(self.words) > CACHED_WORDS:
-                self.words = {}
-            self._learn(list(missing))
-        return b"".join(map(self.parts.__getitem__, parts))
+        return self.encode_all([text])[0]
+
+
+def _some(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """Rows (key, text) in lists of about ``most`` characters of text."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def cut_points(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,15 +246,16 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, text:
         words, keys, packed, held = WordTokens.of(path), [], [], 0
         end, first = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for key, content in zip(batch.iloc[:, 0].astype(object).where(batch.iloc[:, 0].notna(), None), batch["_t_text"]):
-                ids = words.encode(content) + end
-                keys.append(key)
-                packed.append(ids)
-                held += len(ids) // 4
-                if held >= BATCH_TOKENS:
-                    out = windows(keys, packed, words, first)
-                    first, keys, packed, held = int(out["sequence_id"].iloc[-1]) + 1, [], [], 0
-                    yield out
+            every = batch.iloc[:, 0].astype(object).where(batch.iloc[:, 0].notna(), None)
+            for some in _some(zip(every, batch["_t_text"]), TEXT_TOGETHER):
+                for (key, _), ids in zip(some, words.encode_all([content for _, content in some])):
+                    keys.append(key)
+                    packed.append(ids + end)
+                    held += len(ids) // 4 + 1
+                    if held >= BATCH_TOKENS:
+                        out = windows(keys, packed, words, first)
+                        first, keys, packed, held = int(out["sequence_id"].iloc[-1]) + 1, [], [], 0
+                        yield out
         if keys:
             yield windows(keys, packed, words, first)
 
