@@ -32,6 +32,12 @@ _VALUE = (
 )
 _PAIR = rf'\{{"key":({_STRING}),"value":{_VALUE}\}}'
 _SIMPLE_LIST = rf"\A\[(?:{_PAIR}(?:,{_PAIR})*+)?+\]\z"
+# The same without groups and with numbers that are finite whatever their digits: nothing in such a list can be wrong.
+_SAFE_PAIR = (
+    rf'\{{"key":{_STRING},"value":\{{(?:"stringValue":{_STRING}|"intValue":"(?:0|-?[1-9][0-9]{{0,17}})"'
+    r'|"boolValue":(?:true|false)|"doubleValue":-?[0-9]{1,300}+(?:\.[0-9]++)?+)\}\}'
+)
+_SAFE_LIST = rf"\A\[(?:{_SAFE_PAIR}(?:,{_SAFE_PAIR})*+)?+\]\z"
 
 
 def kind(v: Column) -> Column:
@@ -52,14 +58,29 @@ def _field(v: Column, path: str, as_type: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{path}", as_type)
 
 
+def list_text(attributes: Column) -> Column:
+    """Canonical text of an attribute list (variant)."""
+    return F.coalesce(F.to_json(attributes), F.lit("[]"))
+
+
+def lone_value_text(v: Column) -> Column:
+    """Canonical text of a list that holds a typed value under an empty key."""
+    return F.concat(F.lit('[{"key":"","value":'), F.coalesce(F.to_json(v), F.lit("null")), F.lit("}]"))
+
+
 def list_json(attributes: Column) -> Column:
     """Attribute list (variant) to JSON object text with sorted keys, or ``ODD`` and its text."""
-    return _text_json(F.coalesce(F.to_json(attributes), F.lit("[]")))
+    return _text_json(list_text(attributes))
 
 
 def lone_value_json(v: Column) -> Column:
     """A typed value, checked like an attribute, under an empty key."""
-    return _text_json(F.concat(F.lit('[{"key":"","value":'), F.coalesce(F.to_json(v), F.lit("null")), F.lit("}]")))
+    return _text_json(lone_value_text(v))
+
+
+def doubtful(text: Column) -> Column:
+    """``_text_json`` of a list's text where the text alone does not show that nothing in it is wrong; else NULL."""
+    return let(text, lambda t: F.when(~t.rlike(_SAFE_LIST), _text_json(t)))
 
 
 def _text_json(text: Column) -> Column:
@@ -160,6 +181,11 @@ def finish_odd(odd: Column) -> Column:
     return F.map_from_arrays(odd, _finish_list(odd))
 
 
+def any_wrong(odd: Column) -> Column:
+    """Whether one of the odd texts must be refused."""
+    return F.exists(_finish_list(odd), lambda t: t == WRONG)
+
+
 def any_value(v: Column) -> Column:
     """Typed value to a variant; NULL when it is ill-typed."""
     text = lone_value_json(v)

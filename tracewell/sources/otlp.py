@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.anyvalue import (
-    WRONG, any_string, finish_odd, finished_json, list_json, lone_value_json, not_string, odd_texts, service_name, text_of,
+    WRONG, any_string, any_wrong, doubtful, finish_odd, finished_json, list_json, list_text, lone_value_json, lone_value_text, not_string,
+    odd_texts, service_name, text_of,
 )
 from tracewell.functions.scalars import (
     duration_ms, hex_id, log_severity, nanos_to_ts, null_if_empty, span_severity,
@@ -50,11 +51,19 @@ def _text(leaf: Column) -> Column:
     return hex_id(text_of(leaf))
 
 
-def _span_record(span: Column) -> Column:
+def _span_wrong(span: Column) -> Column:
     wrong = wrong_text(span, ("traceId", "spanId", "parentSpanId", "name", "startTimeUnixNano", "endTimeUnixNano"))
+    return wrong | not_string(span["status"]["message"])
+
+
+def _log_wrong(rec: Column) -> Column:
+    return wrong_text(rec, ("timeUnixNano", "severityText", "traceId", "spanId"))
+
+
+def _span_record(span: Column) -> Column:
     start, end = text_of(span["startTimeUnixNano"]), text_of(span["endTimeUnixNano"])
     return F.struct(
-        (wrong | not_string(span["status"]["message"])).alias("wrong"),
+        _span_wrong(span).alias("wrong"),
         start.alias("nanos"),
         _text(span["traceId"]).alias("trace_id"),
         _text(span["spanId"]).alias("span_id"),
@@ -68,7 +77,7 @@ def _span_record(span: Column) -> Column:
 
 def _log_record(rec: Column) -> Column:
     return F.struct(
-        wrong_text(rec, ("timeUnixNano", "severityText", "traceId", "spanId")).alias("wrong"),
+        _log_wrong(rec).alias("wrong"),
         text_of(rec["timeUnixNano"]).alias("nanos"),
         null_if_empty(_text(rec["traceId"])).alias("trace_id"),
         null_if_empty(_text(rec["spanId"])).alias("span_id"),
@@ -119,6 +128,37 @@ def _decode(payloads: DataFrame, schema: str, top: str, scopes: str, leaf: str,
     return rebuilt.select(*keep, F.coalesce(F.col("refusal"), F.when(wrong, WRONG_TYPE)).alias("reason"), "resources", "rows")
 
 
+def _judge(payloads: DataFrame, schema: str, top: str, scopes: str, leaf: str, wrong, typed) -> DataFrame:
+    """One row per payload with ``reason``, as ``_decode`` gives it, without building the rows.
+
+    ``typed`` gives the texts of a record's typed values. A text that is
+    plainly right is not converted; the others are decided as in ``_decode``.
+    """
+    keep = ("payload_id", "body", "ingested_at")
+    parsed = payloads.select(*keep, parse_request(F.col("body"), schema).alias("parsed"))
+    blocks = F.get(F.col("parsed.r"), F.lit(0))[top]
+    leaves = _flat(F.transform(blocks, lambda b: _flat(F.transform(b[scopes], lambda s: F.transform(
+        s[leaf], lambda rec: F.struct(wrong(rec).alias("wrong"), F.array(*[doubtful(t) for t in typed(rec)]).alias("texts")))))))
+    judged = parsed.select(
+        *keep, F.when(not_one_request(F.col("parsed"), F.col("body")), MALFORMED).alias("refusal"),
+        F.coalesce(F.transform(blocks, lambda b: doubtful(list_text(b["resource"]["attributes"]))), F.array()).alias("resources"),
+        F.coalesce(leaves, F.array()).alias("leaves"))
+    texts = F.concat("resources", F.flatten(F.transform("leaves", lambda x: x["texts"])))
+    odd = judged.select(*keep, "refusal", F.exists("leaves", lambda x: x["wrong"]).alias("wrong"), odd_texts(texts).alias("odd"))
+    finished = odd.select(*keep, "refusal", (any_wrong(F.col("odd")) | F.col("wrong")).alias("wrong"))
+    return finished.select(*keep, F.coalesce(F.col("refusal"), F.when(F.col("wrong"), WRONG_TYPE)).alias("reason"))
+
+
+def judge_traces(payloads: DataFrame) -> DataFrame:
+    """One row per payload with ``reason``: the judgement of ``decode_traces`` for the refused side alone."""
+    return _judge(payloads, TRACE_REQUEST, "resourceSpans", "scopeSpans", "spans", _span_wrong, lambda rec: [list_text(rec["attributes"])])
+
+
+def judge_logs(payloads: DataFrame) -> DataFrame:
+    return _judge(payloads, LOG_REQUEST, "resourceLogs", "scopeLogs", "logRecords", _log_wrong,
+                  lambda rec: [list_text(rec["attributes"]), lone_value_text(rec["body"])])
+
+
 def _nothing(rec: Column) -> Column:
     return F.lit("")
 
@@ -169,10 +209,8 @@ def refused(decoded: DataFrame) -> DataFrame:
 
 
 def read_otlp_traces(payloads: DataFrame) -> Decoded:
-    decoded = decode_traces(payloads)
-    return Decoded(accepted(decoded, "trace"), refused(decoded))
+    return Decoded(accepted(decode_traces(payloads), "trace"), refused(judge_traces(payloads)))
 
 
 def read_otlp_logs(payloads: DataFrame) -> Decoded:
-    decoded = decode_logs(payloads)
-    return Decoded(accepted(decoded, "log"), refused(decoded))
+    return Decoded(accepted(decode_logs(payloads), "log"), refused(judge_logs(payloads)))
