@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracewell.llm import prefix_bpe
-from tracewell.llm.column_suffixes import suffix_dedup
+from tracewell.llm.column_suffixes import SEGMENT, anchors, suffix_dedup
 from tracewell.llm.components import components
 from tracewell.llm.cover_tree import near_vectors
 from tracewell.llm.extendible_dedup import build_index, directory, exact_dedup
@@ -415,6 +415,33 @@ def test_repeated_strings(documents, length, largest):
     assert Counter((r.doc_id, r.text) for r in got) == Counter(texts)
 
 
+def test_repeated_lines_are_few_rows(spark, documents):
+    """A line that many texts repeat is settled by as many rows, however often a text has it."""
+    random.seed(5)
+    heads = ["".join(random.choice("abcdefgh") for _ in range(700)) for _ in range(6)]
+
+    def found(times):
+        texts = spark.createDataFrame([(k, head + LINE * times) for k, head in enumerate(heads)], "_t_row long, _t_text string")
+        rows = anchors(texts, 400, 100).collect()
+        assert all(r.n == 1 if r.at == r.last else r.n > 1 for r in rows)
+        return len(rows), sum(r.n for r in rows)
+
+    (few, places), (many, more) = found(40), found(160)
+    assert many <= few + len(heads) and more >= places + 6 * 100
+    texts = [(k, head + LINE * (40 + k) + head[k:90] + LINE * 9) for k, head in enumerate(heads)] + [(9, LINE * 15 + heads[0][:500] + LINE * 15)]
+    got = suffix_dedup(documents(texts), 400).collect()
+    assert pairs((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == pairs(plain_repeats(texts, 400))
+
+
+def test_seams_of_long_texts_repeat_nothing(documents):
+    random.seed(6)
+    letters = "".join(random.choices("abcdefghijklmnop", k=3 * SEGMENT + 5000))
+    passage = letters[2 * SEGMENT - 300:2 * SEGMENT + 300]
+    texts = [(1, letters), (2, "<" + passage + ">"), (3, letters[:399]), (4, "short")]
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in suffix_dedup(documents(texts), 400).collect()}
+    assert got == {1: (600, 1, letters.replace(passage, "")), 2: (600, 1, "<>"), 3: (0, 0, letters[:399]), 4: (0, 0, "short")}
+
+
 # archives
 
 def test_archives(spark):
