@@ -40,6 +40,14 @@ def test_nanos_to_ts(spark):
     assert got == [1234567890123456, 1, -1, 77, 77, 77, 77]
 
 
+def test_nanos_past_a_bigint(spark):
+    fallback = F.timestamp_micros(F.lit(77))
+    got = apply(spark, lambda x: F.unix_micros(s.nanos_to_ts(x, fallback)),
+                ["9223372036854775807", "9223372036854775808", "+0011424067200000001007", "18446744073709551615", "18446744073709551616",
+                 "-9223372036854775809", "9223372036854775808.0", " 9223372036854775808", "9" * 5000])
+    assert got == [9223372036854775, 9223372036854775, 11424067200000001, 18446744073709551, 77, 77, 77, 77, 77]
+
+
 def test_hex_id(spark):
     assert apply(spark, s.hex_id, ["ABcd", "abc", "", "xy", "AB\n", None]) == ["abcd", "abc", "", "xy", "AB\n", None]
 

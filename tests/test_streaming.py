@@ -45,6 +45,20 @@ def test_repeated_payloads_are_kept_unless_a_window_is_given(spark, tmp_path):
         assert spark.read.parquet(sink).count() == rows
 
 
+def test_a_batch_writes_one_file_for_a_light_day(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    os.mkdir(source)
+    for i in range(4):  # every file has every day
+        with open(f"{source}/{i}.txt", "w") as file:
+            for day in range(5):
+                span = {"name": f"{i}-{day}", "startTimeUnixNano": str((1 + day * 86_400) * 1_000_000_000)}
+                file.write(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]}) + "\n")
+    stream_otlp(payload_stream(spark, source), "trace", sink, str(tmp_path / "ck"), **NOW).awaitTermination()
+    stored = spark.read.parquet(sink)
+    assert sorted((r.event_name, r.event_date.day) for r in stored.collect()) == [(f"{i}-{d}", d + 1) for i in range(4) for d in range(5)]
+    assert len(stored.inputFiles()) == 5
+
+
 def test_an_old_file_is_ingested_and_refused_payloads_are_kept(spark, tmp_path):
     source, sink, refused, ck = (str(tmp_path / n) for n in ("in", "out", "refused", "ck"))
     os.mkdir(source)

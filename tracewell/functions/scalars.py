@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ TOOL_MESSAGE_DEFAULT = "Used "
 # Lowest severity number of each level, highest first.
 SEVERITY_FLOORS = ((17, "fatal"), (13, "error"), (9, "warn"), (5, "info"), (1, "debug"))
 SEVERITY_DEFAULT = "info"
+NANOS_MAX = Decimal(2**64 - 1)
 AGENT_ID_PATTERN = r"\A[A-Za-z0-9_-]{1,128}\z"
 HOST_AGENT_PREFIX = "claude-code-"
 
@@ -56,11 +58,15 @@ def nanos_to_ts(nanos: Column, fallback: Column) -> Column:
     """Nanosecond text to timestamp, floored to microseconds.
 
     Unreadable or zero text takes ``fallback``: the ingest time of the payload
-    rather than the clock, so a retried task gives the same row.
+    rather than the clock, so a retried task gives the same row. Nanoseconds are
+    unsigned in the protocol: from the year 2262 on they are past a bigint.
     """
+    late = F.when(nanos.rlike(r"\A[+]?[0-9]+\z"), nanos.try_cast("decimal(20,0)"))
+
     def convert(n: Column) -> Column:
         micros = int_div(F.try_subtract(n, F.pmod(n, F.lit(1000))), 1000)
-        return F.when(n != 0, F.timestamp_micros(micros)).otherwise(fallback)
+        return F.when(n != 0, F.timestamp_micros(micros)).when(
+            n.isNull() & (late <= F.lit(NANOS_MAX)), F.timestamp_micros(int_div(late, 1000))).otherwise(fallback)
 
     return let(strict_bigint(nanos), convert)
 

@@ -227,8 +227,9 @@ def log_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(priority == "3", F.concat(F.lit('{"doubleValue":'), whole.cast("string"), F.lit(".5}")))
         .when(priority == "4", F.lit('{"boolValue":true}'))
         .otherwise(F.lit('{"kvlistValue":{"values":[{"key":"a","value":{"stringValue":"b"}}]}}')))
+    # Decimal: nanoseconds from 41.8 million keys on are past a bigint.
     nanos = F.when(F.col("o_orderstatus") == "P", F.lit("0")).otherwise(
-        ((F.lit(EPOCH_2024) + key * 180) * 1_000_000_000 + 7).cast("string"))
+        ((F.lit(EPOCH_2024) + key * 180).cast("decimal(20,0)") * 1_000_000_000 + 7).cast("string"))
     trace = F.when(priority == "5", "").otherwise(_trace_id(int_div(key, 10)))
     rec = F.concat(
         F.lit('{"timeUnixNano":"'), nanos, F.lit('","severityNumber":'), (whole % 25).cast("string"),

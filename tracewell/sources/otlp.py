@@ -5,8 +5,9 @@ whole inside its own row: one wrong field anywhere refuses all of it, and the
 decision needs no shuffle. Decoding is one narrow stage: parse, convert, explode.
 
 Known differences from a case-insensitive, last-key-wins decoder: field names
-are matched case-sensitively, and an object with a repeated key inside a typed
-value is refused as malformed.
+are matched case-sensitively, an object with a repeated key inside a typed
+value is refused as malformed, and times are unsigned 64-bit nanoseconds, where
+a signed decoder replaces those from the year 2262 on by the ingest time.
 """
 
 from __future__ import annotations

@@ -54,8 +54,16 @@ def to_sink(stream: DataFrame, sink: Sink, checkpoint: str, partition_by: str |
 
 def stream_otlp(payloads: DataFrame, signal: str, sink: Sink, checkpoint: str,
                 replay_window: str | None = None, **trigger) -> StreamingQuery:
-    """Write the events of a payload stream to a table divided by UTC day, or hand them to a function."""
+    """Write the events of a payload stream to a table divided by UTC day, or hand them to a function.
+
+    The rebalance hint lets adaptive execution split a heavy day of a batch over
+    several files and join light days, instead of one file per task and day. A
+    ``replay_window`` keeps state, which turns adaptive execution off; a heavy
+    day would be one task's then, so such a stream stays as it is dealt.
+    """
     events = decode_stream(payloads, signal, replay_window).events.withColumn("event_date", utc_date(F.col("ts")))
+    if replay_window is None and not callable(sink):
+        events = events.hint("rebalance", "event_date")
     return to_sink(events, sink, checkpoint, "event_date").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
